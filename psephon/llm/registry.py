@@ -3,25 +3,86 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vocabulary() -> tuple[bytes, str]:
     import public_tokenizers
 
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        return f.read(), public_tokenizers.PATTERN
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from psephon.llm import lines
+
+    return lines.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from psephon.llm import decontaminate
+
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from psephon.llm import substrings
+
+    out = substrings.substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("spans").cast("long").alias("n_spans"))
+
+
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from psephon.llm import jpeg
+
+    return jpeg.read_media(jpeg.encode_media(table(spark, sf_dir, "documents"))).drop("media")
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from psephon.llm import urls
+
+    return urls.judge(table(spark, sf_dir, "pages"), urls.RULES)
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from psephon.llm import lm
+
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from psephon.llm import bpe
 
-    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
-        vocabulary = f.read()
-    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+    return bpe.round_trip(table(spark, sf_dir, "documents"), *vocabulary())
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from psephon.llm import quality
+
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict:
-    return {"op9_byte_level_bpe": op9_byte_level_bpe}
+    own = [op3_line_dedup, op4_decontamination, op5_substring_dedup, op6_media_columns, op7_url_filters, op8_lm_scoring, op9_byte_level_bpe, op10_quality_classifier]
+    return {f.__name__: f for f in own}
+
+
+LINES_SQL = """
+WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+starts AS (SELECT doc_id, unnest(range(1, len(lines) - 1)) AS p, lines FROM cut WHERE len(lines) >= 3),
+windows AS (SELECT doc_id, p, row_number() OVER (PARTITION BY lines[p], lines[p + 1], lines[p + 2] ORDER BY doc_id, p) AS k FROM starts),
+gone AS (SELECT DISTINCT doc_id, unnest([p, p + 1, p + 2]) AS p FROM windows WHERE k > 1),
+listed AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
+kept AS (SELECT c.doc_id, c.lines, list_filter(range(1, len(c.lines) + 1), lambda i: NOT list_contains(coalesce(l.ps, []), i)) AS ks FROM cut c LEFT JOIN listed l ON c.doc_id = l.doc_id)
+SELECT doc_id, len(lines) AS n_lines, len(lines) - len(ks) AS n_removed, sha256(array_to_string(list_transform(ks, lambda i: lines[i]), chr(10))) AS kept_sha256 FROM kept
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from psephon.llm import urls
+
+    return {"op3_line_dedup": LINES_SQL, "op7_url_filters": urls.oracle()}
