@@ -17,6 +17,12 @@ def vocabulary() -> tuple[bytes, str]:
         return f.read(), public_tokenizers.PATTERN
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from psephon.llm import jaccard
+
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).drop("node")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from psephon.llm import lines
 
@@ -67,7 +73,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op3_line_dedup, op4_decontamination, op5_substring_dedup, op6_media_columns, op7_url_filters, op8_lm_scoring, op9_byte_level_bpe, op10_quality_classifier]
+    own = [op1_ngram_jaccard, op3_line_dedup, op4_decontamination, op5_substring_dedup, op6_media_columns, op7_url_filters, op8_lm_scoring, op9_byte_level_bpe, op10_quality_classifier]
     return {f.__name__: f for f in own}
 
 
