@@ -23,6 +23,13 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents")).drop("node")
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from psephon.llm import byteruns
+
+    out = byteruns.byte_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from psephon.llm import lines
 
@@ -73,7 +80,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op1_ngram_jaccard, op3_line_dedup, op4_decontamination, op5_substring_dedup, op6_media_columns, op7_url_filters, op8_lm_scoring, op9_byte_level_bpe, op10_quality_classifier]
+    own = [op1_ngram_jaccard, op2_suffix_array_dedup, op3_line_dedup, op4_decontamination, op5_substring_dedup, op6_media_columns, op7_url_filters, op8_lm_scoring, op9_byte_level_bpe, op10_quality_classifier]
     return {f.__name__: f for f in own}
 
 
