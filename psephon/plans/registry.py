@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from psephon.plans import base, cleaning, contest, evaluation
+
+MODULES = (cleaning, contest, evaluation)
+
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.SQL)
