@@ -50,7 +50,7 @@ class Pattern:
     def best(self, text: str, most: int) -> int:
         """Least distance over all ends in ``text``; stops early at 0; over ``most`` counts as ``most + 1``."""
         every, top = (1 << self.size) - 1, 1 << self.size - 1
-        up, down, score, least = every, 0, self.size, most + 1
+        up, down, score, least = every, 0, self.size, min(self.size, most + 1)
         for c in text:
             match = self.masks.get(c, 0)
             diagonal = (((match & up) + up) ^ up) | match | down
