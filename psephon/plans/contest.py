@@ -178,17 +178,17 @@ def cycle_rows(spark, sf_dir):
 
 
 @query(f"""
-WITH {WINDOWED} SELECT cycle, metric, round(max(CASE WHEN back = 1 THEN v END), 2) AS eve, round(avg(v), 2) AS mean, round(max(v), 2) AS max, round(min(v), 2) AS min, round(stddev_pop(v), 2) AS std,
-  round(CASE WHEN count(*) > 1 THEN regr_slope(v, i) ELSE 0 END, 2) AS trend, round(coalesce(max(CASE WHEN back = 1 THEN v END) - max(CASE WHEN back = 13 THEN v END), 0), 2) AS last12_delta FROM rw GROUP BY cycle, metric""")
+WITH {WINDOWED} SELECT cycle, metric, round(max(CASE WHEN back = 1 THEN v END), 4) AS eve, round(avg(v), 4) AS mean, round(max(v), 4) AS max, round(min(v), 4) AS min, round(stddev_pop(v), 4) AS std,
+  round(CASE WHEN count(*) > 1 THEN regr_slope(v, i) ELSE 0 END, 4) AS trend, round(coalesce(max(CASE WHEN back = 1 THEN v END) - max(CASE WHEN back = 13 THEN v END), 0), 4) AS last12_delta FROM rw GROUP BY cycle, metric""")
 def series_cycle_stats(spark, sf_dir):
     """Seven figures of each series in each cycle's window."""
-    return rounded(ser.cycle_stats(cycle_rows(spark, sf_dir), "metric", "v"), 2)
+    return rounded(ser.cycle_stats(cycle_rows(spark, sf_dir), "metric", "v"), 4)
 
 
-@query(f"WITH {WINDOWED} SELECT cycle, metric, " + ", ".join(f"round(avg(v) FILTER (back <= {n}), 2) AS avg_{n}mo, round(max(v) FILTER (back <= {n}), 2) AS max_{n}mo, round(coalesce(regr_slope(v, i) FILTER (back <= {n}), 0), 2) AS trend_{n}mo" for n in (3, 6, 12)) + " FROM rw GROUP BY cycle, metric")
+@query(f"WITH {WINDOWED} SELECT cycle, metric, " + ", ".join(f"round(avg(v) FILTER (back <= {n}), 4) AS avg_{n}mo, round(max(v) FILTER (back <= {n}), 4) AS max_{n}mo, round(coalesce(regr_slope(v, i) FILTER (back <= {n}), 0), 4) AS trend_{n}mo" for n in (3, 6, 12)) + " FROM rw GROUP BY cycle, metric")
 def series_recency(spark, sf_dir):
     """Mean, maximum and trend of the last three, six and twelve months."""
-    return rounded(ser.recency_stats(cycle_rows(spark, sf_dir), "metric", "v"), 2)
+    return rounded(ser.recency_stats(cycle_rows(spark, sf_dir), "metric", "v"), 4)
 
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
