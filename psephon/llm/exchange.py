@@ -28,8 +28,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of (compressed) input for each batch, and batches for each shuffle partition at least.
-BATCH_BYTES, BATCHES_PER_PARTITION = 1_500_000, 4
+#: Bytes of (compressed) input for each batch and for each bucket, and how many of both for each shuffle partition at
+#: least. Buckets are fewer: a batch sends a row to each, and rows of a few keys would cost more than the keys.
+BATCH_BYTES, BUCKET_BYTES, PER_PARTITION = 1_500_000, 8_000_000, 2
 #: Stands for a null id in comparisons: a null id comes after all others.
 NO_ID = np.iinfo(np.int64).max
 KEYS = "batch int, bucket int, body binary"
@@ -46,10 +47,10 @@ def plan_bytes(df: DataFrame) -> int:
     return sum(x or 0 for x in row)
 
 
-def unit_count(df: DataFrame, each: int = BATCH_BYTES) -> int:
-    """How many batches (or buckets) an input of this size is dealt into."""
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(BATCHES_PER_PARTITION * width, plan_bytes(df) // each + 1)
+def unit_counts(df: DataFrame) -> tuple[int, int]:
+    """How many batches, and how many buckets, an input of this size is dealt into."""
+    width, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), plan_bytes(df)
+    return max(PER_PARTITION * width, size // BATCH_BYTES + 1), max(PER_PARTITION * width, size // BUCKET_BYTES + 1)
 
 
 def shared_dir(spark: SparkSession) -> None:
@@ -172,3 +173,31 @@ def replies_for(table: pa.Table, keys: np.ndarray, n: int, dtype) -> np.ndarray:
         size = bounds[b + 1] - bounds[b]
         out[bounds[b] : bounds[b + 1]] = np.unpackbits(np.frombuffer(body, np.uint8), count=size).astype(bool) if dtype is bool else np.frombuffer(body, dtype, size)
     return out
+
+
+def pack_small(values: np.ndarray, width: int = 1) -> bytes:
+    """Unsigned 64-bit values in ``width`` bytes each; those that need more, and the greatest of the width, are put behind."""
+    most = (1 << 8 * width) - 1
+    large = values >= np.uint64(most)
+    low = np.where(large, np.uint64(most), values).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return np.array([len(values), int(large.sum())], "<u4").tobytes() + np.ascontiguousarray(low).tobytes() + values[large].astype("<u8").tobytes()
+
+
+def unpack_small(body: bytes, at: int = 0, width: int = 1) -> tuple[np.ndarray, int]:
+    """What ``pack_small`` packed, and where it ends."""
+    n, n_large = np.frombuffer(body, "<u4", 2, at).tolist()
+    low = np.zeros((n, 8), np.uint8)
+    low[:, :width] = np.frombuffer(body, np.uint8, n * width, at + 8).reshape(n, width)
+    out, at = low.view("<u8").ravel(), at + 8 + n * width
+    out[out == (1 << 8 * width) - 1] = np.frombuffer(body, "<u8", n_large, at)
+    return out, at + 8 * n_large
+
+
+def pack_counted(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys, as differences of six bytes, and their counts, of one byte."""
+    return pack_small(np.diff(keys, prepend=np.uint64(0)), 6) + pack_small(counts)
+
+
+def unpack_counted(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps, at = unpack_small(body, 0, 6)
+    return np.cumsum(steps, dtype=np.uint64), unpack_small(body, at)[0]

@@ -51,14 +51,14 @@ def line_dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def _run(docs: DataFrame, id_col: str, text_col: str, span: int, columns: list[str] | None) -> DataFrame:
-    n = x.unit_count(docs)
+    n, m = x.unit_counts(docs)
     whole = F.struct(*[F.col(f"`{c}`") for c in columns if c != text_col]).alias("row") if columns else None
     batches = x.batched(docs, n, id_col, text_col)
     full = x.batched(docs, n, id_col, text_col, whole) if columns else batches
 
     def send(key, table):
         w = LineWindows(table, span)
-        return x.packed_table(x.deal(key[0].as_py(), n, w.keys, w.least))
+        return x.packed_table(x.deal(key[0].as_py(), m, w.keys, w.least))
 
     def resolve(key, table):
         rows, sizes, (keys, least) = x.unpack(table, np.uint64, np.int64)
@@ -69,7 +69,7 @@ def _run(docs: DataFrame, id_col: str, text_col: str, span: int, columns: list[s
 
     def cut(key, table, replies):
         w = LineWindows(table, span)
-        gone = w.starts[x.replies_for(replies, w.keys, n, bool)[w.key_of] | w.repeat] if len(w.starts) else w.starts
+        gone = w.starts[x.replies_for(replies, w.keys, m, bool)[w.key_of] | w.repeat] if len(w.starts) else w.starts
         change = np.zeros(len(w.lines) + 1, np.int64)
         np.add.at(change, gone, 1)
         np.add.at(change, gone + span, -1)

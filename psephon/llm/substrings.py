@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from psephon.llm import exchange as x
 
 SEED = 5
-ROUND = "batch int, bucket int, body binary"
 _memo = x.WordHashes()
 
 
@@ -73,12 +72,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, n_words, n_removed, spans, kept): ``spans`` are the removed runs [start, end) of words; ``kept`` is UTF-8."""
     if window <= SEED:
         raise ValueError(f"a window needs over {SEED} words")
-    n = x.unit_count(docs)
+    n, m = x.unit_counts(docs)
     batches = x.batched(docs, n, id_col, text_col)
 
     def send_seeds(key, table):
         w = Windows(table, window)
-        return x.packed_table(x.deal(key[0].as_py(), n, w.seeds | w.several))
+        return x.packed_table(x.deal(key[0].as_py(), m, w.seeds | w.several))
 
     def shared_seeds(key, table):
         rows, sizes, (keys,) = x.unpack(table, np.uint64)
@@ -88,8 +87,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def send_windows(key, table, replies):
         w = Windows(table, window)
-        w.extended(x.replies_for(replies, w.seeds, n, bool))
-        return x.packed_table(x.deal(key[0].as_py(), n, w.keys, w.least))
+        w.extended(x.replies_for(replies, w.seeds, m, bool))
+        return x.packed_table(x.deal(key[0].as_py(), m, w.keys, w.least))
 
     def earlier_windows(key, table):
         rows, sizes, (keys, least) = x.unpack(table, np.uint64, np.int64)
@@ -101,8 +100,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def cut(key, table, replies):
         w = Windows(table, window)
         is_second = np.asarray(replies.column("second"))
-        w.extended(x.replies_for(replies.filter(pa.array(~is_second)), w.seeds, n, bool))
-        earlier = x.replies_for(replies.filter(pa.array(is_second)), w.keys, n, bool)
+        w.extended(x.replies_for(replies.filter(pa.array(~is_second)), w.seeds, m, bool))
+        earlier = x.replies_for(replies.filter(pa.array(is_second)), w.keys, m, bool)
         gone = w.at[earlier[w.key_of] | (w.least[w.key_of] < w.ids[w.at_doc])] if len(w.at) else w.at
         change = np.zeros(len(w.words) + 1, np.int64)
         np.add.at(change, gone, 1)
