@@ -10,11 +10,17 @@ many documents share does not generate candidates, unless a document has little
 
 1. The first order's prefixes go, packed, to buckets. A bucket makes *lists*: the nodes with one prefix shingle, cut
    where no two sizes can link. Equal lists are kept once. Lists, not pairs, are what is shuffled.
-2. Each list's least node is paired with the others (a list of n gives n - 1 pairs). Pairs must also share prefix
-   shingles under the other orders; those left are verified on the whole sets. Components of the links follow.
-3. In lists that still span components, what lies outside the list's commonest component is paired with the other
-   components' members, filtered and verified likewise. Every link between different components has both ends in
-   a list, so the final components are exact, and copies and near copies never make all pairs.
+2. Each list's least node is paired with the others (a list of n gives n - 1 pairs). Pairs must also agree under the
+   second order, a plain hash order: of its first quarter, sent as 16-bit values, linked sets share more than half,
+   since they differ in few shingles at all. Pairs that are left must share a prefix shingle under the third order,
+   and are verified on the whole sets. Components of the links follow.
+3. The lists of one least node make a *cluster*. Clusters that still span components are cut into tiles of two blocks
+   of at most ``BLOCK`` nodes, and a tile's texts meet in one task. There, counts of shared shingles are kept in a
+   matrix, first of the second order's quarters, and of whole sets only where a pair of different components passes
+   that filter. A tile returns a spanning forest of its links, never its pairs.
+
+Linked sets share a prefix shingle of the first order, so both are in one list and in its cluster: the components are
+exact. Copies are one node, and clusters within one component (most groups of near copies) are left out.
 
 Defined results. Null or empty texts: an empty set, component their own id, links with nothing. Fewer words than a
 shingle: the whole sequence is one. Null ids: take part, report a null id, and give the component no name.
@@ -38,6 +44,10 @@ from psephon.llm.components import components
 COUNTERS, PARTS = 1 << 18, 64
 ORDERS = tuple(np.uint64(s) for s in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0))
 SLICE_BYTES = 2_000_000
+#: Rows of 16 bytes (nodes of candidate pairs) that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
+#: Nodes in each of a tile's two blocks, about.
+BLOCK = 768
 _memo = x.WordHashes()
 
 
@@ -74,23 +84,35 @@ def in_order(own: np.ndarray, rank: np.ndarray, order: int, percent: int) -> np.
     return np.sort(keys)[:size] if n else own
 
 
+def quarter(own: np.ndarray) -> np.ndarray:
+    """The set's members in the first quarter of the second order, as sorted distinct 16-bit values."""
+    m = x.mixed(own ^ ORDERS[1])
+    return np.unique((m[m < np.uint64(1 << 62)] >> np.uint64(46)).astype(np.uint16))
+
+
+def may_link(p: np.ndarray, q: np.ndarray, n_p: int, n_q: int, percent: int) -> bool:
+    """Whether two quarters allow a link: linked sets differ in so many shingles at most, and so do images of their parts."""
+    differ = n_p + n_q - 2 * -(-percent * (n_p + n_q) // (100 + percent))
+    return 2 * len(np.intersect1d(p, q, assume_unique=True)) >= len(p) + len(q) - differ
+
+
 def sets_and_sketch(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """One pass: (doc_id, node, n) of each document, and the partial frequency sketches (part, counts)."""
+    """One pass: (doc_id, node, n, near) of each document, and the partial frequency sketches (part, counts)."""
 
     def run(batches):
         total = np.zeros(COUNTERS, np.int64)
-        schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("near", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
         for part in slices(batches, "body", SLICE_BYTES):
             sets = shingle_sets([b or b"" for b in part.column(1).to_pylist()], k)
             if sets:
                 total += np.bincount(counter_of(np.concatenate(sets)), minlength=COUNTERS)
             size = len(sets)
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([quarter(s).tobytes() for s in sets], pa.binary()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], schema=schema)
         if total.any():
             rows = [c.tobytes() for c in np.split(total, PARTS)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(PARTS, pa.int64())] * 3 + [pa.array(range(PARTS), pa.int32()), pa.array(rows, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.nulls(PARTS, pa.int64())] * 3 + [pa.nulls(PARTS, pa.binary()), pa.array(range(PARTS), pa.int32()), pa.array(rows, pa.binary())], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body")).mapInArrow(run, "doc_id long, node long, n long, part int, counts binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body")).mapInArrow(run, "doc_id long, node long, n long, near binary, part int, counts binary")
 
 
 def frequency_ranks(sketches: DataFrame) -> np.ndarray:
@@ -168,59 +190,146 @@ def star_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return lists.select("members").mapInArrow(run, "a long, b long").distinct()
 
 
-def member_rows(lists: DataFrame) -> DataFrame:
+def cluster_rows(lists: DataFrame) -> DataFrame:
+    """(hub, node): the members of all lists of one least node."""
+
     def run(batches):
         for batch in batches:
-            for name, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                node, size = unpacked(members)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), name)), pa.array(node), pa.array(size)], names=["list", "node", "size"])
+            for members in batch.column(0).to_pylist():
+                node, _ = unpacked(members)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), node.min())), pa.array(node)], names=["hub", "node"])
+
+    return lists.select("members").mapInArrow(run, "hub long, node long").distinct()
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many members each two sets share. Members of few sets are counted pair by pair, others by matrix products."""
+    m = len(sets)
+    owner = np.repeat(np.arange(m), [len(s) for s in sets])
+    value = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+    order = np.argsort(value, kind="stable")
+    value, owner = value[order], owner[order]
+    starts = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(value) else np.empty(0, np.int64)
+    sizes = np.diff(np.append(starts, len(value)))
+    out = np.zeros((m, m), np.float32)
+    for size in np.unique(sizes[sizes > 1]).tolist():
+        own = owner[starts[sizes == size][:, None] + np.arange(size)]
+        if size < 24:
+            for at in range(0, len(own), 1 << 14):
+                part = own[at : at + (1 << 14)]
+                out += np.bincount((part[:, :, None] * m + part[:, None, :]).ravel(), minlength=m * m).reshape(m, m)
+    common = np.flatnonzero(sizes >= 24)
+    for at in range(0, len(common), 512):
+        grid = np.zeros((m, 512), np.float32)
+        for k, c in enumerate(common[at : at + 512].tolist()):
+            grid[owner[starts[c] : starts[c] + sizes[c]], k] = 1
+        out += grid @ grid.T
+    return out
 
-    return lists.select("list", "members").mapInArrow(run, "list long, node long, size long")
 
+def forest(links: np.ndarray, labels: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join what is not joined yet, from a matrix of links."""
+    group, out = labels.copy(), []
+    for a in range(len(group)):
+        for b in np.flatnonzero(links[a] & (group != group[a])).tolist():
+            if group[a] != group[b]:
+                group[group == group[b]] = group[a]
+                out.append((a, b))
+    return out
 
-def crossing_pairs(lists: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b, of different components in one list: members outside the list's commonest component with the others."""
-    rows = member_rows(lists).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = rows.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("list")
-    rows = rows.join(mixed, "list")
-    shares = rows.groupBy("list", "component").agg(F.count("*").alias("c"))
-    main = shares.groupBy("list").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
-    small = rows.join(main, "list").filter("component <> main").select("list", F.col("node").alias("u"), F.col("size").alias("u_size"), F.col("component").alias("u_component"))
-    pairs = small.join(rows, "list").filter((F.col("component") != F.col("u_component")) & (F.least("size", "u_size") * 100 >= F.greatest("size", "u_size") * percent))
-    return pairs.select(F.least("u", "node").alias("a"), F.greatest("u", "node").alias("b")).distinct()
 
+def cluster_links(lists: DataFrame, found: DataFrame, docs: DataFrame, keepers: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """(a, b): links between different components within clusters, as many as it takes to join them."""
+    rows = cluster_rows(lists).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    spans = rows.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).filter("low < high")
+    rows = rows.join(spans.select("hub", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "hub")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    tiled = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    tiled = tiled.select("hub", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "component").checkpoint()
+    texts = node_texts(tiled.select("node").distinct(), docs, keepers, id_col, text_col)
+
+    def judge(key, table):
+        ids, labels = np.asarray(table.column("node")), np.asarray(table.column("component"))
+        sets = shingle_sets([t or b"" for t in table.column("body").to_pylist()], k)
+        ok = [i for i, own in enumerate(sets) if len(own) and node_of(own) == ids[i]]
+        ok = [ok[i] for i in np.unique(ids[ok], return_index=True)[1].tolist()]
+        sets, ids, labels = [sets[i] for i in ok], ids[ok], np.unique(labels[ok], return_inverse=True)[1]
+        n = np.array([len(own) for own in sets], np.int64)
+        both = n[:, None] + n[None, :]
+        differ = both - 2 * -(-percent * both // (100 + percent))
+        quarters = [quarter(own) for own in sets]
+        q = np.array([len(own) for own in quarters], np.int64)
+        may = (labels[:, None] != labels[None, :]) & (2 * overlaps(quarters) >= q[:, None] + q[None, :] - differ)
+        if not may.any():
+            return pa.table([pa.array([], pa.int64())] * 2, names=["a", "b"])
+        live = np.flatnonzero(may.any(1))
+        shared = overlaps([sets[i] for i in live.tolist()])
+        links = may[np.ix_(live, live)] & (100 * shared >= percent * (both[np.ix_(live, live)] - shared))
+        pairs = forest(links, labels[live])
+        return pa.table([pa.array([ids[live[p[side]]] for p in pairs], pa.int64()) for side in (0, 1)], names=["a", "b"])
+
+    return tiled.join(texts, "node").groupBy("hub", "i", "j").applyInArrow(judge, "a long, b long")
+
+
+def node_texts(nodes: DataFrame, docs: DataFrame, keepers: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, body) of the documents of least id of some nodes; of rows with one id, all."""
+    needed = nodes.join(keepers.select("node", "keeper"), "node").checkpoint()
+    if needed.count() <= BROADCAST_ROWS:  # else a shuffle join of all texts
+        needed = F.broadcast(needed)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body"))
+    return texts.join(needed, F.col("doc_id").eqNullSafe(F.col("keeper"))).select("node", "body")
+
+
+def near(pairs: DataFrame, keepers: DataFrame, percent: int) -> DataFrame:
+    """Those pairs whose quarters allow a link."""
+    left = keepers.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("near").alias("pa"))
+    right = keepers.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("near").alias("pb"))
 
-def linked(pairs: DataFrame, docs: DataFrame, keepers: DataFrame, ranks, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """Those pairs that share prefix shingles under all other orders and whose whole sets link."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(keepers, "node")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body")).join(needed, F.col("doc_id").eqNullSafe(F.col("keeper"))).select("node", "body")
+    def run(batches):
+        for batch in batches:
+            _, _, na, p, nb, q = (c.to_pylist() for c in batch.columns)
+            mask = pa.array([may_link(np.frombuffer(r, np.uint16), np.frombuffer(t, np.uint16), i, j, percent) for r, t, i, j in zip(p, q, na, nb, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    def prepare(batches):
-        for part in slices(batches, "body", SLICE_BYTES):
-            sets = shingle_sets([b or b"" for b in part.column(1).to_pylist()], k)
-            nodes = part.column(0).to_pylist()
-            at = [i for i, s in enumerate(sets) if len(s) and node_of(s) == nodes[i]]
-            prefixes = [[in_order(sets[i], ranks.value, o, percent).tobytes() for i in at] for o in range(1, len(ORDERS))]
-            yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in at], pa.int64()), pa.array([sets[i].tobytes() for i in at], pa.binary()), pa.array([list(p) for p in zip(*prefixes, strict=True)], pa.list_(pa.binary()))], names=["node", "shingles", "prefixes"])
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "pa", "nb", "pb").mapInArrow(run, "a long, b long")
 
-    ready = texts.mapInArrow(prepare, "node long, shingles binary, prefixes array<binary>")
-    left = ready.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("prefixes").alias("pa"))
-    right = ready.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("prefixes").alias("pb"))
 
-    def shared(p: bytes, q: bytes) -> int:
-        return len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), assume_unique=True))
+def linked(pairs: DataFrame, docs: DataFrame, keepers: DataFrame, ranks, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """Those pairs that share a prefix shingle under the last order and whose whole sets link. ``pairs`` is checkpointed.
+
+    Texts, which compress, are what is moved to the pairs; sets are made again where pairs meet.
+    """
+    texts = node_texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs, keepers, id_col, text_col)
+    left = texts.select(F.col("node").alias("a"), F.col("body").alias("ta"))
+    right = texts.select(F.col("node").alias("b"), F.col("body").alias("tb"))
+
+    def shared(p: np.ndarray, q: np.ndarray) -> int:
+        return len(np.intersect1d(p, q, assume_unique=True))
 
     def verify(batches):
         for batch in batches:
-            a, b, sa, pa_, sb, pb = (c.to_pylist() for c in batch.columns)
-            ok = []
-            for i in range(len(a)):
-                both = all(shared(p, q) for p, q in zip(pa_[i], pb[i], strict=True)) and shared(sa[i], sb[i])
-                ok.append(bool(both) and 100 * both >= percent * (len(sa[i]) // 8 + len(sb[i]) // 8 - both))
-            mask = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "pa", "sb", "pb").mapInArrow(verify, "a long, b long")
+            for part in slices(batch_of_pairs(batch), "both", SLICE_BYTES):
+                ids = [part.column(0).to_pylist(), part.column(1).to_pylist()]
+                bodies = list({row for side in (0, 1) for row in zip(ids[side], part.column(2 + side).to_pylist(), strict=True)})
+                found = zip(bodies, shingle_sets([t or b"" for _, t in bodies], k), strict=True)
+                sets = {node: own for (node, _), own in found if len(own) and node_of(own) == node}  # texts of one id can differ
+                prefixes = {node: in_order(own, ranks.value, 2, percent) for node, own in sets.items()}
+                ok = []
+                for a, b in zip(*ids, strict=True):
+                    if a not in sets or b not in sets or not shared(prefixes[a], prefixes[b]):
+                        ok.append(False)
+                        continue
+                    both = shared(sets[a], sets[b])
+                    ok.append(100 * both >= percent * (len(sets[a]) + len(sets[b]) - both))
+                mask = pa.array(ok, pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(1).filter(mask)], names=["a", "b"])
+
+    def batch_of_pairs(batch):
+        """One batch, with the column by whose size it is cut."""
+        both = pa.array([(s or b"") + (t or b"") for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns, both], names=["a", "b", "ta", "tb", "both"])
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -228,19 +337,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     x.shared_dir(spark)
     passed = sets_and_sketch(docs, id_col, text_col, k).checkpoint()
-    sets = passed.filter("part IS NULL").select("doc_id", "node", "n")
+    rows = passed.filter("part IS NULL")
+    sets = rows.select("doc_id", "node", "n")
     ranks = spark.sparkContext.broadcast(frequency_ranks(passed.filter("part IS NOT NULL").select("part", "counts")))
-    keepers = sets.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("keeper"))
+    keepers = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("keeper"), F.first("n").alias("n"), F.first("near").alias("near")).checkpoint()
 
-    lists = lists_of(docs, ranks, id_col, text_col, k, percent, x.unit_count(docs)).checkpoint()
+    lists = lists_of(docs, ranks, id_col, text_col, k, percent, x.unit_counts(docs)[1]).checkpoint()
     stars = star_pairs(lists, percent).checkpoint()
-    links = linked(stars, docs, keepers, ranks, id_col, text_col, k, percent).distinct().checkpoint()
+    links = linked(near(stars, keepers, percent).checkpoint(), docs, keepers, ranks, id_col, text_col, k, percent).distinct().checkpoint()
     found = components(links).checkpoint()
-    rest = crossing_pairs(lists, found, percent).join(stars, ["a", "b"], "left_anti").checkpoint()
-    links = links.unionByName(linked(rest, docs, keepers, ranks, id_col, text_col, k, percent)).distinct()
+    links = links.unionByName(cluster_links(lists, found, docs, keepers, id_col, text_col, k, percent))
     found = components(links)
 
-    named = keepers.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = keepers.select("node", "keeper").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("keeper").alias("component_id"))
     named = named.join(least, "component").select(F.col("node").alias("of"), "component_id")
     out = sets.join(named, F.col("node") == F.col("of"), "left")
