@@ -25,6 +25,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from psephon.llm import exchange as x
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Levels of a path that can be generalised by their variety; copies of the verdicts for the join.
 DEPTH, SALT = 4, 8
@@ -57,7 +59,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "pa
 
     # One row for each host and raw template; raw templates then turn into templates level by level.
     counted = own.groupBy("host", "raw").agg(F.count("*").alias("n"), F.count_if(F.col("ruled") == "block").alias("b"), F.count_if(F.col("ruled") == "allow").alias("a"))
-    counted = counted.withColumn("segments", F.split("raw", "/")).withColumn("template", F.lit(""))
+    # (Checkpoints: each of these small tables is used several times, and plans would double at every level.)
+    x.shared_dir(pages.sparkSession)
+    counted = counted.withColumn("segments", F.split("raw", "/")).withColumn("template", F.lit("")).checkpoint()
     for level in range(1, DEPTH + 1):
         segment = F.try_element_at("segments", F.lit(level + 1))
         counted = counted.withColumn("segment", segment)
@@ -65,7 +69,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "pa
         wild = spread.filter((F.col("kinds") >= varied) & (F.col("kinds") * 2 > F.col("pages"))).select("host", "template", F.lit(True).alias("wild"))
         counted = counted.join(wild, ["host", "template"], "left")
         step = F.when(F.col("segment").isNull(), "").when(F.col("wild"), "/*").otherwise(F.concat(F.lit("/"), F.col("segment")))
-        counted = counted.withColumn("template", F.concat("template", step)).drop("wild")
+        counted = counted.withColumn("template", F.concat("template", step)).drop("wild").checkpoint()
     deeper = F.slice("segments", DEPTH + 2, 1_000_000)
     counted = counted.withColumn("template", F.when(F.size(deeper) > 0, F.concat_ws("/", F.col("template"), F.array_join(deeper, "/"))).otherwise(F.col("template")))
 
@@ -76,7 +80,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "pa
     expected = F.try_divide(m * F.col("host_b"), all_.cast("double"))
     variance = F.try_divide(expected * F.col("host_a"), all_.cast("double"))
     own_branch = (m >= least) & (variance > 0) & ((F.col("b") - expected) * (F.col("b") - expected) >= variance * chi)
-    leaves = leaves.withColumn("branch", F.when(F.coalesce(own_branch, F.lit(False)), F.col("template")).otherwise("(merged)"))
+    leaves = leaves.withColumn("branch", F.when(F.coalesce(own_branch, F.lit(False)), F.col("template")).otherwise("(merged)")).checkpoint()
     branches = leaves.groupBy("host", "branch").agg(F.sum("b").alias("branch_b"), F.sum("a").alias("branch_a"))
     shapes = leaves.groupBy("template").agg(F.sum("b").alias("shape_b"), F.sum("a").alias("shape_a"))
     total = leaves.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("total_b"), F.coalesce(F.sum("a"), F.lit(0)).alias("total_a"))
