@@ -15,9 +15,8 @@ many documents share does not generate candidates, unless a document has little
    since they differ in few shingles at all. Pairs that are left must share a prefix shingle under the third order,
    and are verified on the whole sets. Components of the links follow.
 3. The lists of one least node make a *cluster*. Clusters that still span components are cut into tiles of two blocks
-   of at most ``BLOCK`` nodes, and a tile's texts meet in one task. There, counts of shared shingles are kept in a
-   matrix, first of the second order's quarters, and of whole sets only where a pair of different components passes
-   that filter. A tile returns a spanning forest of its links, never its pairs.
+   of at most ``BLOCK`` nodes. In a tile, counts of shared members are kept in a matrix: first of the second order's
+   quarters, and then, for nodes that have a partner of another component after that filter, of the whole sets. A tile returns a spanning forest of its links, never its pairs.
 
 Linked sets share a prefix shingle of the first order, so both are in one list and in its cluster: the components are
 exact. Copies are one node, and clusters within one component (most groups of near copies) are left out.
@@ -245,7 +244,22 @@ def cluster_links(lists: DataFrame, found: DataFrame, docs: DataFrame, keepers:
     rows = rows.join(spans.select("hub", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "hub")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     tiled = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    tiled = tiled.select("hub", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "component").checkpoint()
+    tiled = tiled.select("hub", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "component")
+
+    def possible(n, labels, quarters):
+        """Pairs of different components whose quarters allow a link, as a matrix, and the sizes of both sets together."""
+        both = n[:, None] + n[None, :]
+        differ = both - 2 * -(-percent * both // (100 + percent))
+        q = np.array([len(own) for own in quarters], np.int64)
+        return (labels[:, None] != labels[None, :]) & (2 * overlaps(quarters) >= q[:, None] + q[None, :] - differ), both
+
+    def shortlist(key, table):
+        """The tile's nodes that have such a partner: only their texts are moved."""
+        quarters = [np.frombuffer(q, np.uint16) for q in table.column("near").to_pylist()]
+        may, _ = possible(np.asarray(table.column("n")), np.asarray(table.column("component")), quarters)
+        return table.filter(pa.array(may.any(1))).select(["hub", "i", "j", "node", "component"])
+
+    tiled = tiled.join(keepers.select("node", "n", "near"), "node").groupBy("hub", "i", "j").applyInArrow(shortlist, "hub long, i int, j int, node long, component long").checkpoint()
     texts = node_texts(tiled.select("node").distinct(), docs, keepers, id_col, text_col)
 
     def judge(key, table):
@@ -255,11 +269,7 @@ def cluster_links(lists: DataFrame, found: DataFrame, docs: DataFrame, keepers:
         ok = [ok[i] for i in np.unique(ids[ok], return_index=True)[1].tolist()]
         sets, ids, labels = [sets[i] for i in ok], ids[ok], np.unique(labels[ok], return_inverse=True)[1]
         n = np.array([len(own) for own in sets], np.int64)
-        both = n[:, None] + n[None, :]
-        differ = both - 2 * -(-percent * both // (100 + percent))
-        quarters = [quarter(own) for own in sets]
-        q = np.array([len(own) for own in quarters], np.int64)
-        may = (labels[:, None] != labels[None, :]) & (2 * overlaps(quarters) >= q[:, None] + q[None, :] - differ)
+        may, both = possible(n, labels, [quarter(own) for own in sets])
         if not may.any():
             return pa.table([pa.array([], pa.int64())] * 2, names=["a", "b"])
         live = np.flatnonzero(may.any(1))
