@@ -6,10 +6,13 @@ repeat nothing. So the corpus is first cut into *shards* that can be sorted alon
 1. Every ``length``-byte string has a seed, its ``GRAM``-byte string of least hash (the leftmost of equals), so equal
    strings have equal seeds. Consecutive strings with one seed are a *run*; a run's bytes are its *context*. A batch
    sends (seed, digest of context), each once; the bucket that owns a seed replies which contexts repeat as a whole,
-   and which differ from others of their seed. Nothing is sorted for seeds that occur once or in equal contexts.
-2. Contexts that differ, one copy of each, go to their seed's bucket. That shard's suffixes are sorted by external
-   induced sorting (``suffixes``), with common prefixes: a string repeats where the suffix that begins there shares
-   ``length`` bytes or more with a neighbour. The starts go back to the batches as bits.
+   and which differ from others of their seed. Nothing is sorted for seeds that occur once or in equal contexts. Nor
+   for starts that cannot repeat: by distance from its seed a run is cut into ``PIECES`` pieces at most; what all
+   strings of a piece have in common, its core, is digested too, and a piece whose core no other context has repeats
+   nothing.
+2. Contexts that differ, one copy of each, cut to the pieces that are left, go to their seed's bucket. There, suffixes
+   are sorted by external induced sorting (``suffixes``), with common prefixes: a string repeats where the suffix that
+   begins there shares ``length`` bytes or more with a neighbour. The starts go back to the batches as bits.
 3. A batch unites the strings that repeat, removes what they cover, and digests the rest.
 
 Copies are compared, never expanded into pairs: a passage of a third of all documents arrives once from each batch
@@ -34,11 +37,15 @@ from psephon.llm import suffixes
 
 GRAM = 32
 #: What a bucket says of a context: nothing repeats; repeats as a whole; send it; repeats as a whole and send it.
+#: A reply is this in two bits, and above them a bit for each piece that another context may share.
 NOTHING, WHOLE, SEND, WHOLE_SEND = range(4)
+PIECES = 6
 #: One 64-bit value for each byte, and the factor of the rolling hash.
 BYTES = x.mixed(np.arange(1, 257, dtype=np.uint64) * x.GOLDEN)
 FACTOR = np.uint64(0xD1342543DE82EF95)
 STEP = 1 << 20
+#: Bytes of contexts that are sorted together, but for one seed's.
+PART_BYTES = 1 << 18
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -62,11 +69,11 @@ def least_of(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def runs_in(body: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of one text: first start, number of starts, seed."""
+def runs_in(body: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of one text: first start, number of starts, seed, place of the seed."""
     n, width = len(body) - length + 1, length - GRAM + 1
     if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
     data = np.frombuffer(body, np.uint8)
     firsts, seeds = [], []
     for at in range(0, n, STEP):  # long texts in steps; a run that a step cuts is joined below
@@ -80,7 +87,7 @@ def runs_in(body: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     first, where, seed = np.concatenate(firsts), np.concatenate([s[0] for s in seeds]), np.concatenate([s[1] for s in seeds])
     keep = np.append(True, where[1:] != where[:-1])
     first, seed = first[keep], seed[keep]
-    return first, np.diff(np.append(first, n)), seed
+    return first, np.diff(np.append(first, n)), seed, where[keep]
 
 
 class Runs:
@@ -91,7 +98,7 @@ class Runs:
         parts = [runs_in(b, length) for b in self.bodies]
         self.doc = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
         none = np.empty(0, np.int64)
-        self.first, self.count = (np.concatenate([p[k] for p in parts]) if parts else none for k in (0, 1))
+        self.first, self.count, self.place = (np.concatenate([p[k] for p in parts]) if parts else none for k in (0, 1, 3))
         seed = np.concatenate([p[2] for p in parts]) if parts else np.empty(0, np.uint64)
         digest = np.fromiter((xxhash.xxh3_64_intdigest(self.bodies[d][a : a + c + length - 1]) for d, a, c in zip(self.doc.tolist(), self.first.tolist(), self.count.tolist(), strict=True)), np.uint64, len(seed))
         order = np.lexsort((digest, seed))
@@ -102,26 +109,65 @@ class Runs:
         self.example = order[new]
         self.seeds, self.digests = s[new], d[new]
         self.several = np.bincount(self.entry_of, minlength=len(self.seeds)) > 1 if len(s) else np.empty(0, bool)
-        self.length = length
+        self.length, self.piece = length, -(-(length - GRAM + 1) // PIECES)
 
-    def context(self, entry: int) -> bytes:
+    def cores(self) -> list[np.ndarray]:
+        """For each piece, the digests of the entries' cores (0: the run has no start there)."""
+        out = np.zeros((PIECES, len(self.example)), np.uint64)
+        wide = self.length - self.piece + 1
+        e = self.example
+        for k, (d, place, first, count) in enumerate(zip(self.doc[e].tolist(), self.place[e].tolist(), self.first[e].tolist(), self.count[e].tolist(), strict=True)):
+            body = self.bodies[d]
+            for p in range((place - first - count + 1) // self.piece, (place - first) // self.piece + 1):
+                at = place - p * self.piece
+                out[p, k] = xxhash.xxh3_64_intdigest(body[at : at + wide]) | 1
+        return list(out)
+
+    def hull(self, entry: int, mask: int) -> tuple[int, int]:
+        """Distances (most, number) from the seed of the starts between the first and last piece of the mask."""
+        run = self.example[entry]
+        most = int(self.place[run] - self.first[run])
+        high = min(most, mask.bit_length() * self.piece - 1)
+        low = max(most - int(self.count[run]) + 1, ((mask & -mask).bit_length() - 1) * self.piece)
+        return high, high - low + 1
+
+    def context(self, entry: int, mask: int) -> bytes:
         run = self.example[entry]
-        return self.bodies[self.doc[run]][self.first[run] : self.first[run] + self.count[run] + self.length - 1]
+        high, count = self.hull(entry, mask)
+        first = self.place[run] - high
+        return self.bodies[self.doc[run]][first : first + count + self.length - 1]
 
 
 def packed_contexts(runs: Runs, said: np.ndarray, batch: int, n: int):
     """Contexts that buckets asked for: (batch, bucket, seeds, sizes, whether whole, bytes)."""
-    asked = np.flatnonzero(said >= SEND)
+    asked = np.flatnonzero(said & 3 >= SEND)
     bounds = x.bucket_bounds(runs.seeds[asked], n)
     for b in np.flatnonzero(np.diff(bounds)):
         own = asked[bounds[b] : bounds[b + 1]]
-        contexts = [runs.context(e) for e in own.tolist()]
+        contexts = [runs.context(e, int(said[e]) >> 2) for e in own.tolist()]
         sizes = np.array([len(c) for c in contexts], np.uint32)
-        yield batch, int(b), b"".join([np.uint64(len(own)).tobytes(), runs.seeds[own].tobytes(), sizes.tobytes(), (said[own] == SEND).tobytes(), *contexts])
+        yield batch, int(b), b"".join([np.uint64(len(own)).tobytes(), runs.seeds[own].tobytes(), sizes.tobytes(), (said[own] & 3 == SEND).tobytes(), *contexts])
+
+
+def in_parts(contexts: list[bytes], seeds: np.ndarray, length: int) -> list[np.ndarray]:
+    """``repeated_starts`` of contexts in the order of their seeds, a part of whole seeds after another.
+
+    Equal strings have equal seeds, so parts are independent; a part has ``PART_BYTES``, or one seed's contexts if
+    they are more.
+    """
+    ends, out, at = np.flatnonzero(np.append(seeds[1:] != seeds[:-1], True)) + 1, [], 0
+    size = np.cumsum([len(c) for c in contexts])
+    for end, after in zip(ends.tolist(), [*ends[1:].tolist(), None], strict=True):
+        if after is None or size[after - 1] - (size[at - 1] if at else 0) > PART_BYTES:
+            out += repeated_starts(contexts[at:end], length)
+            at = end
+    return out
 
 
 def repeated_starts(contexts: list[bytes], length: int) -> list[np.ndarray]:
     """For each context, which of its starts begin a string that begins in another place of the shard too."""
+    if len(contexts) < 2:
+        return [np.zeros(len(c) - length + 1, bool) for c in contexts]
     data = np.frombuffer(b"".join(contexts), np.uint8).astype(np.int64) + 2
     sizes = np.array([len(c) for c in contexts], np.int64)
     ends = np.cumsum(sizes)
@@ -139,15 +185,15 @@ def byte_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, n_bytes, n_removed, spans, kept): ``spans`` are the removed runs [start, end) of bytes."""
     if length < 2 * GRAM:
         raise ValueError(f"strings need {2 * GRAM} bytes or more")
-    n = x.unit_count(docs)
+    n, m = x.unit_counts(docs)
     batches = x.batched(docs, n, id_col, text_col)
 
     def send(key, table):
         r = Runs(table, length)
-        return x.packed_table(x.deal(key[0].as_py(), n, r.seeds, r.digests, r.several))
+        return x.packed_table(x.deal(key[0].as_py(), m, r.seeds, r.digests, r.several, *r.cores()))
 
     def compare(key, table):
-        rows, sizes, (seeds, digests, several) = x.unpack(table, np.uint64, np.uint64, bool)
+        rows, sizes, (seeds, digests, several, *cores) = x.unpack(table, np.uint64, np.uint64, bool, *[np.uint64] * PIECES)
         batch_of = np.repeat(rows, sizes)
         order = np.lexsort((batch_of, digests, seeds))
         s, d = seeds[order], digests[order]
@@ -158,21 +204,32 @@ def byte_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         seed_of_context = seed[new]
         once = np.bincount(seed_of_context, ~repeats)[seed_of_context] > 0
         alone = np.bincount(seed_of_context)[seed_of_context] == 1
-        answer = np.where(repeats, np.where(once, WHOLE_SEND, WHOLE), np.where(alone, NOTHING, SEND))[context]
-        answer[(answer == WHOLE_SEND) & ~new] = WHOLE  # the first batch sends it
+        mask = np.zeros(len(seed_of_context), np.int64)
+        for p, core in enumerate(cores):
+            c = core[order][new]
+            by = np.lexsort((c, seed_of_context))
+            same = (c[by][1:] == c[by][:-1]) & (seed_of_context[by][1:] == seed_of_context[by][:-1]) & (c[by][1:] > 0)
+            mask[by[1:][same]] |= 1 << p
+            mask[by[:-1][same]] |= 1 << p
+        once &= mask > 0
+        answer = np.where(repeats, np.where(once, WHOLE_SEND, WHOLE), np.where(alone | (mask == 0), NOTHING, SEND))
+        answer = (answer | np.where(answer >= SEND, mask << 2, 0))[context]
+        late = (answer & 3 == WHOLE_SEND) & ~new
+        answer[late] = WHOLE  # the first batch sends it
         out = np.empty(len(seeds), np.uint8)
         out[order] = answer
         return x.packed_table(x.reply_rows(rows, sizes, key[0].as_py(), out))
 
     def send_contexts(key, table, replies):
         r = Runs(table, length)
-        return x.packed_table(packed_contexts(r, x.replies_for(replies, r.seeds, n, np.uint8), key[0].as_py(), n))
+        return x.packed_table(packed_contexts(r, x.replies_for(replies, r.seeds, m, np.uint8), key[0].as_py(), m))
 
     def sort_shard(key, table):
-        contexts, owners, wanted = [], [], []
+        contexts, owners, wanted, seeds = [], [], [], []
         rows = sorted(zip(table.column("batch").to_pylist(), table.column("body").to_pylist(), strict=True))
         for batch, body in rows:
             count = int(np.frombuffer(body, np.uint64, 1)[0])
+            seeds.append(np.frombuffer(body, np.uint64, count, 8))
             size = np.frombuffer(body, np.uint32, count, 8 + 8 * count).tolist()
             unique = np.frombuffer(body, bool, count, 8 + 12 * count).tolist()
             at = 8 + 13 * count
@@ -181,8 +238,13 @@ def byte_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 owners.append(batch)
                 wanted.append(want)
                 at += own
+        seed = np.concatenate(seeds)
+        order = np.argsort(seed, kind="stable")
+        hits: list = [None] * len(contexts)
+        for i, hit in zip(order.tolist(), in_parts([contexts[i] for i in order.tolist()], seed[order], length), strict=True):
+            hits[i] = hit
         bits: dict[int, list[np.ndarray]] = {}
-        for batch, want, hit in zip(owners, wanted, repeated_starts(contexts, length), strict=True):
+        for batch, want, hit in zip(owners, wanted, hits, strict=True):
             if want:
                 bits.setdefault(batch, []).append(hit)
         return x.packed_table((b, key[0].as_py(), np.packbits(np.concatenate(v)).tobytes()) for b, v in bits.items())
@@ -190,19 +252,20 @@ def byte_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def cut(key, table, replies):
         r = Runs(table, length)
         second = np.asarray(replies.column("second"))
-        said = x.replies_for(replies.filter(pa.array(~second)), r.seeds, n, np.uint8)
+        said = x.replies_for(replies.filter(pa.array(~second)), r.seeds, m, np.uint8)
         # Starts that repeat, for each entry that was sent to be compared, in the order in which it was sent.
-        asked = np.flatnonzero(said >= SEND)
-        bounds, starts = x.bucket_bounds(r.seeds[asked], n), {}
+        asked = np.flatnonzero(said & 3 >= SEND)
+        bounds, starts = x.bucket_bounds(r.seeds[asked], m), {}
         late = replies.filter(pa.array(second))
         for b, body in zip(late.column("bucket").to_pylist(), late.column("body").to_pylist(), strict=True):
-            own = [e for e in asked[bounds[b] : bounds[b + 1]].tolist() if said[e] == SEND]
-            counts = [int(r.count[r.example[e]]) for e in own]
+            own = [e for e in asked[bounds[b] : bounds[b + 1]].tolist() if said[e] & 3 == SEND]
+            hulls = [r.hull(e, int(said[e]) >> 2) for e in own]
+            counts = [c for _, c in hulls]
             hit, at = np.unpackbits(np.frombuffer(body, np.uint8), count=sum(counts)).astype(bool), 0
-            for e, c in zip(own, counts, strict=True):
-                starts[e] = hit[at : at + c]
+            for e, (high, c) in zip(own, hulls, strict=True):
+                starts[e] = high, np.flatnonzero(hit[at : at + c])
                 at += c
-        what = said[r.entry_of]
+        what = said[r.entry_of] & 3
         bounds = np.searchsorted(r.doc, np.arange(len(r.bodies) + 1))
         rows = []
         for i, body in enumerate(r.bodies):
@@ -212,12 +275,12 @@ def byte_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 rows.append((len(body), 0, [], body))
                 continue
             change = np.zeros(len(body) + 1, np.int32)
-            for first, count, kind, entry in zip(r.first[own].tolist(), r.count[own].tolist(), kinds.tolist(), r.entry_of[own].tolist(), strict=True):
+            for first, count, place, kind, entry in zip(r.first[own].tolist(), r.count[own].tolist(), r.place[own].tolist(), kinds.tolist(), r.entry_of[own].tolist(), strict=True):
                 if kind in (WHOLE, WHOLE_SEND):
                     change[first] += 1
                     change[first + count + length - 1] -= 1
                 elif kind == SEND and entry in starts:
-                    at = first + np.flatnonzero(starts[entry])
+                    at = place - starts[entry][0] + starts[entry][1]
                     change[at] += 1
                     change[at + length] -= 1
             gone = np.cumsum(change)[:-1] > 0

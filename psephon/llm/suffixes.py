@@ -26,7 +26,7 @@ import tempfile
 import numpy as np
 
 #: Bytes of queue tuples held in memory; ranges of a queue; items that leave together at most.
-MEMORY, RANGES, BLOCK = 64 << 20, 64, 1 << 14
+MEMORY, RANGES, BLOCK = 64 << 20, 512, 1 << 14
 FAR = np.int64(1) << 40
 
 
@@ -39,15 +39,23 @@ class RangeQueue:
         self.edges = np.unique(cuts.astype(np.int64))
         self.tails: list[list[np.ndarray]] = [[] for _ in range(len(self.edges) + 1)]
         self.spilled: list[list[tuple[int, int]]] = [[] for _ in self.tails]
-        self.front, self.at, self.range, self.held, self.memory, self.scratch = np.empty((0, 3), np.int64), 0, -1, 0, memory, None
+        self.front, self.at, self.end = np.empty((0, 3), np.int64), 0, 0
+        self.range, self.held, self.memory, self.scratch = -1, 0, memory, None
 
     def push(self, items: np.ndarray) -> None:
         to = np.searchsorted(self.edges, items[:, 0], "right")
         now = to <= self.range
         if now.any():
-            rest, new = self.front[self.at :], items[now]
-            both = np.concatenate([rest, new])
-            self.front, self.at = both[np.argsort(both[:, 0], kind="stable")], 0
+            new = items[now]
+            if self.end + len(new) > len(self.front):
+                rest = self.front[self.at : self.end]
+                self.front, self.at, self.end = np.empty((2 * (len(rest) + len(new)) + 64, 3), np.int64), 0, len(rest)
+                self.front[: len(rest)] = rest
+            self.front[self.end : self.end + len(new)] = new
+            self.end += len(new)
+            if not 0 < self.range < len(self.edges) or self.edges[self.range] - self.edges[self.range - 1] > 1:
+                own = self.front[self.at : self.end]  # a range of one symbol needs no sorting
+                own[:] = own[np.argsort(own[:, 0], kind="stable")]
             items, to = items[~now], to[~now]
         if len(items):
             order = np.argsort(to, kind="stable")
@@ -73,7 +81,7 @@ class RangeQueue:
 
     def head(self, most: int) -> np.ndarray:
         """Up to ``most`` least items, without taking them."""
-        while self.at >= len(self.front) and self.range + 1 < len(self.tails):
+        while self.at >= self.end and self.range + 1 < len(self.tails):
             self.range += 1
             parts = []
             for place, size in self.spilled[self.range]:
@@ -83,8 +91,8 @@ class RangeQueue:
             self.held -= sum(p.nbytes for p in self.tails[self.range])
             self.tails[self.range], self.spilled[self.range] = [], []
             both = np.concatenate(parts) if parts else np.empty((0, 3), np.int64)
-            self.front, self.at = both[np.argsort(both[:, 0], kind="stable")], 0
-        return self.front[self.at : self.at + most]
+            self.front, self.at, self.end = both[np.argsort(both[:, 0], kind="stable")], 0, len(both)
+        return self.front[self.at : min(self.end, self.at + most)].copy()
 
     def take(self, n: int) -> None:
         self.at += n
