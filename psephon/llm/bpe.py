@@ -25,12 +25,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries that a worker keeps at most: encoded words, transducer states, judged token pairs.
-WORDS, STATES, PAIRS = 250_000, 40_000, 300_000
+WORDS, STATES, PAIRS = 120_000, 80_000, 120_000
 #: Texts that pass through a worker together, in bytes.
 SLICE_BYTES = 4_000_000
 
@@ -70,13 +71,14 @@ class Pairs:
 
     def stand(self, a: int, b: int) -> bool:
         """Undo both tokens' merges, latest first, and see if a merge across the seam would have come earlier."""
-        if (a, b) in self.seen:
-            return self.seen[a, b]
+        key = a << 32 | b
+        if key in self.seen:
+            return self.seen[key]
         if len(self.seen) >= PAIRS:
             self.seen.clear()
         left, right, ok = a, b, self.whole(b)
         if a < 0:  # b begins the pretoken
-            self.seen[a, b] = ok
+            self.seen[key] = ok
             return ok
         # Ranks order merges in time. ``until``: merges from this rank on have been undone on both sides; on the
         # left side a merge of equal rank comes first, for BPE merges the leftmost place first.
@@ -93,7 +95,7 @@ class Pairs:
                 until, left = left, l_halves[1]
             else:
                 until, right = right + 1, r_halves[0]
-        self.seen[a, b] = ok
+        self.seen[key] = ok
         return ok
 
 
@@ -106,7 +108,7 @@ START: State = (-1, ((0, ()),))
 class Transducer:
     """Tokens of a pretoken, by one pass over its bytes.
 
-    Determinised states are numbers; ``arcs`` goes from (state, byte) to (state, tokens that the step settles).
+    Determinised states are numbers; ``arcs`` goes from 256 state + byte to (256 state, tokens that the step settles).
     Both are made when first met. Once the table is full, steps that it lacks are determinised without being kept.
     """
 
@@ -137,9 +139,9 @@ class Transducer:
             if whole is None:
                 token = self.entry[node]
                 if token >= 0:
-                    pair = (path[-1] if path else settled, token)
-                    ok = seen.get(pair)
-                    if self.pairs.stand(*pair) if ok is None else ok:
+                    before = path[-1] if path else settled
+                    ok = seen.get(before << 32 | token)
+                    if self.pairs.stand(before, token) if ok is None else ok:
                         whole = (*path, token)
             if self.inner[node]:
                 still.append((node, path))
@@ -162,11 +164,11 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        number, arcs, ids = 0, self.arcs, []
+        base, arcs, ids = 0, self.arcs, []  # base: 256 times the state
         for at, byte in enumerate(piece):
-            arc = arcs.get(number << 8 | byte)
+            arc = arcs.get(base + byte)
             if arc is None:
-                state, out = self.step(self.states[number], byte)
+                state, out = self.step(self.states[base >> 8], byte)
                 to = self.numbers.get(state)
                 if to is None:
                     if len(self.states) >= STATES:
@@ -179,11 +181,11 @@ class Transducer:
                         return ids
                     to = self.numbers[state] = len(self.states)
                     self.states.append(state)
-                arc = arcs[number << 8 | byte] = to, out
-            number, out = arc
+                arcs[base + byte] = arc = to << 8, out
+            base, out = arc
             if out:
                 ids += out
-        ids += self.states[number][1][-1][1]
+        ids += self.states[base >> 8][1][-1][1]
         return ids
 
 
@@ -246,11 +248,19 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer, self.find = Transducer(ranks), regex.compile(pattern).findall
         self.bare, self.led = Words("", self.span), Words(" ", self.span)
+        # Whether the pattern takes letters with a space before them, and a mark after them, for matches of their own.
+        self.plain = all(self.find(lead + "ab" + mark) == [lead + "ab", *mark] for lead in ("", " ") for mark in ("", ".", ",", ";", ":"))
 
     def span(self, text: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.find(text):
-            ids += self.transducer.encode(piece.encode())
+        encode, word = self.transducer.encode, text[1:] if text[:1] == " " else text
+        if self.plain and word.isascii() and word.isalpha():  # such a word is one match
+            ids = encode(text.encode())
+        elif self.plain and word.isascii() and word[:-1].isalpha() and word[-1] in ".,;:":  # and then a mark is another
+            ids = encode(text[:-1].encode()) + [self.transducer.ranks[word[-1].encode()]]
+        else:
+            ids = []
+            for piece in self.find(text):
+                ids += encode(piece.encode())
         return np.array(ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
@@ -355,7 +365,7 @@ def decoder(raw: bytes) -> Decoder:
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that no slice has over ``most`` bytes of text, but for a single longer text."""
     for batch in batches:
-        sizes = np.array([len(x) if x is not None else 0 for x in batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary()).to_pylist()], np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0), np.int64)
         start = 0
         while start < len(sizes):
             stop = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:]), most, "right")))
