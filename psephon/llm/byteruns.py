@@ -10,9 +10,11 @@ repeat nothing. So the corpus is first cut into *shards* that can be sorted alon
    for starts that cannot repeat: by distance from its seed a run is cut into ``PIECES`` pieces at most; what all
    strings of a piece have in common, its core, is digested too, and a piece whose core no other context has repeats
    nothing.
-2. Contexts that differ, one copy of each, cut to the pieces that are left, go to their seed's bucket. There, suffixes
-   are sorted by external induced sorting (``suffixes``), with common prefixes: a string repeats where the suffix that
-   begins there shares ``length`` bytes or more with a neighbour. The starts go back to the batches as bits.
+2. Contexts that differ, one copy of each, cut to the pieces that are left, go to their seed's bucket, which keeps them
+   in a scratch file. There, suffixes are sorted by external induced sorting (``suffixes``), with common prefixes: a
+   string repeats where the suffix that begins there shares ``length`` bytes or more with a neighbour. What is sorted
+   together is bounded whatever a seed holds: a hot seed is cut by distance and core until it is small enough
+   (``split``). The starts go back to the batches as bits.
 3. A batch unites the strings that repeat, removes what they cover, and digests the rest.
 
 Copies are compared, never expanded into pairs: a passage of a third of all documents arrives once from each batch
@@ -26,6 +28,10 @@ byte by byte.
 
 from __future__ import annotations
 
+import mmap
+import tempfile
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -44,7 +50,7 @@ PIECES = 6
 BYTES = x.mixed(np.arange(1, 257, dtype=np.uint64) * x.GOLDEN)
 FACTOR = np.uint64(0xD1342543DE82EF95)
 STEP = 1 << 20
-#: Bytes of contexts that are sorted together, but for one seed's.
+#: Bytes of contexts that are sorted together at most (or two copies of one string, if they are more).
 PART_BYTES = 1 << 18
 
 
@@ -83,7 +89,8 @@ def runs_in(body: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
         place = (least_of(ranked, width) & np.uint64(0x3FFFFF)).astype(np.int64)
         new = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
         firsts.append(new + at)
-        seeds.append((place[new] + at, h[place[new]]))
+        # Least hashes have small leading bits, which deal seeds to buckets: mixed again, they are even.
+        seeds.append((place[new] + at, x.mixed(h[place[new]] + x.GOLDEN)))
     first, where, seed = np.concatenate(firsts), np.concatenate([s[0] for s in seeds]), np.concatenate([s[1] for s in seeds])
     keep = np.append(True, where[1:] != where[:-1])
     first, seed = first[keep], seed[keep]
@@ -139,29 +146,128 @@ class Runs:
 
 
 def packed_contexts(runs: Runs, said: np.ndarray, batch: int, n: int):
-    """Contexts that buckets asked for: (batch, bucket, seeds, sizes, whether whole, bytes)."""
+    """Contexts that buckets asked for: (batch, bucket, seeds, sizes, distances of their first starts, whether to reply, bytes)."""
     asked = np.flatnonzero(said & 3 >= SEND)
     bounds = x.bucket_bounds(runs.seeds[asked], n)
     for b in np.flatnonzero(np.diff(bounds)):
         own = asked[bounds[b] : bounds[b + 1]]
         contexts = [runs.context(e, int(said[e]) >> 2) for e in own.tolist()]
         sizes = np.array([len(c) for c in contexts], np.uint32)
-        yield batch, int(b), b"".join([np.uint64(len(own)).tobytes(), runs.seeds[own].tobytes(), sizes.tobytes(), (said[own] & 3 == SEND).tobytes(), *contexts])
+        highs = np.array([runs.hull(e, int(said[e]) >> 2)[0] for e in own.tolist()], np.uint32)
+        yield batch, int(b), b"".join([np.uint64(len(own)).tobytes(), runs.seeds[own].tobytes(), sizes.tobytes(), highs.tobytes(), (said[own] & 3 == SEND).tobytes(), *contexts])
 
 
-def in_parts(contexts: list[bytes], seeds: np.ndarray, length: int) -> list[np.ndarray]:
-    """``repeated_starts`` of contexts in the order of their seeds, a part of whole seeds after another.
+class Shard:
+    """Contexts of a bucket, in a scratch file, with their seeds and the distances of their first starts from them."""
 
-    Equal strings have equal seeds, so parts are independent; a part has ``PART_BYTES``, or one seed's contexts if
-    they are more.
-    """
-    ends, out, at = np.flatnonzero(np.append(seeds[1:] != seeds[:-1], True)) + 1, [], 0
-    size = np.cumsum([len(c) for c in contexts])
-    for end, after in zip(ends.tolist(), [*ends[1:].tolist(), None], strict=True):
-        if after is None or size[after - 1] - (size[at - 1] if at else 0) > PART_BYTES:
-            out += repeated_starts(contexts[at:end], length)
-            at = end
-    return out
+    def __init__(self, rows: Iterator[tuple[int, memoryview]], length: int):
+        self.length, self.scratch, end = length, tempfile.TemporaryFile(), 0
+        columns: list[tuple] = []
+        for batch, body in rows:
+            n = int(np.frombuffer(body, np.uint64, 1)[0])
+            seeds, sizes, highs, wanted = (np.frombuffer(body, t, n, 8 + k * n).copy() for t, k in ((np.uint64, 0), (np.uint32, 8), (np.uint32, 12), (bool, 16)))
+            self.scratch.write(body[8 + 17 * n :])
+            sizes = sizes.astype(np.int64)
+            columns.append((np.full(n, batch), seeds, sizes, highs.astype(np.int64), wanted, end + np.cumsum(sizes) - sizes))
+            end += int(sizes.sum())
+        columns.sort(key=lambda c: int(c[0][0]))  # a batch sends one row
+        self.batch, self.seed, self.size, self.high, self.wanted, self.at = (np.concatenate(c) for c in zip(*columns, strict=True))
+        self.scratch.flush()
+        self.map = mmap.mmap(self.scratch.fileno(), end, access=mmap.ACCESS_READ)
+        self.view = memoryview(self.map)
+        self.count = self.size - length + 1
+        self.hit_at = np.cumsum(self.count) - self.count
+        self.hits = np.memmap(tempfile.TemporaryFile(), bool, "w+", shape=(int(self.count.sum()),))
+
+    def split(self, own: np.ndarray, a: int, b: int):
+        """Independent parts of one seed's contexts ``own``: lists of (context, first start, starts, equal ones as pairs).
+
+        Equal strings have their seed at the same distance, so starts at distances [a, b) are compared only with
+        each other; and all of them contain their context's core, so contexts with different cores have nothing in
+        common, and one with a core of its own repeats nothing. What is left is halved until its distinct contents,
+        two copies of those that repeat, are ``PART_BYTES`` at most; at one distance the core is the string. A
+        digest that is the same by chance only makes a part larger.
+        """
+        length, view = self.length, self.view
+        own = own[(self.high[own] >= a) & (self.high[own] - self.count[own] < b - 1)]
+        if len(own) < 2:
+            return
+        core_at, wide = self.at[own] + self.high[own] - a, length - (b - 1 - a)
+        core = np.fromiter((xxhash.xxh3_64_intdigest(view[p : p + wide]) for p in core_at.tolist()), np.uint64, len(own))
+        order = np.argsort(core, kind="stable")
+        own, core = own[order], core[order]
+        edges = np.append(np.flatnonzero(np.append(True, core[1:] != core[:-1])), len(core))
+        for group in (own[i:j] for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if j - i > 1):
+            high = np.minimum(self.high[group], b - 1)
+            first = self.high[group] - high
+            count = high - np.maximum(self.high[group] - self.count[group] + 1, a) + 1
+            start, size = self.at[group] + first, count + length - 1
+            digest = np.fromiter((xxhash.xxh3_64_intdigest(view[p : p + n]) for p, n in zip(start.tolist(), size.tolist(), strict=True)), np.uint64, len(group))
+            by = np.lexsort((digest, count, high))
+            new = np.append(True, (digest[by][1:] != digest[by][:-1]) | (count[by][1:] != count[by][:-1]) | (high[by][1:] != high[by][:-1]))
+            copies = np.bincount(np.cumsum(new) - 1)
+            if b - a > 1 and int((size[by][new] * np.minimum(copies, 2)).sum()) > PART_BYTES:
+                middle = (a + b) // 2
+                yield from self.split(group, a, middle)
+                yield from self.split(group, middle, b)
+                continue
+            items: list[tuple[int, int, int, list]] = []
+            for k, fresh in zip(by.tolist(), new.tolist(), strict=True):
+                me = int(group[k]), int(first[k])
+                lead = None if fresh else items[top]
+                if lead is not None and self.content(*lead[:3]) == self.content(*me, lead[2]):
+                    if len(lead[3]) == 0:
+                        items.append((*me, lead[2], []))
+                    lead[3].append(me)
+                else:
+                    if fresh:
+                        top = len(items)
+                    items.append((*me, int(count[k]), []))
+            yield items
+
+    def content(self, context: int, first: int, count: int) -> memoryview:
+        at = int(self.at[context]) + first
+        return self.view[at : at + count + self.length - 1]
+
+    def parts(self):
+        """Parts of whole seeds, ``PART_BYTES`` together; those of a seed that has more are split."""
+        order = np.argsort(self.seed, kind="stable")
+        seed = self.seed[order]
+        edges = np.append(np.flatnonzero(np.append(True, seed[1:] != seed[:-1])), len(seed))
+        part, held = [], 0
+        for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            own = order[i:j]
+            if j - i < 2:
+                continue
+            if int(self.size[own].sum()) <= PART_BYTES:
+                pieces = [[(e, 0, int(self.count[e]), []) for e in own.tolist()]]
+            else:
+                pieces = self.split(own, 0, self.length - GRAM + 1)
+            for piece in pieces:
+                size = sum(count + self.length - 1 for _, _, count, _ in piece)
+                if part and held + size > PART_BYTES:
+                    yield part
+                    part, held = [], 0
+                part, held = part + piece, held + size
+        if part:
+            yield part
+
+    def sort(self) -> None:
+        """Marks all starts of strings that repeat."""
+        for part in self.parts():
+            found = repeated_starts([bytes(self.content(*item[:3])) for item in part], self.length)
+            for (context, first, count, equal), hit in zip(part, found, strict=True):
+                for c, f in [(context, first), *equal]:
+                    at = int(self.hit_at[c]) + f
+                    self.hits[at : at + count] |= hit
+
+    def replies(self):
+        """(batch, bits of the starts of its contexts that wait for a reply)."""
+        edges = np.append(np.flatnonzero(np.append(True, self.batch[1:] != self.batch[:-1])), len(self.batch))
+        for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            bits = [self.hits[self.hit_at[e] : self.hit_at[e] + self.count[e]] for e in range(i, j) if self.wanted[e]]
+            if bits:
+                yield int(self.batch[i]), np.packbits(np.concatenate(bits)).tobytes()
 
 
 def repeated_starts(contexts: list[bytes], length: int) -> list[np.ndarray]:
@@ -224,30 +330,12 @@ def byte_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         r = Runs(table, length)
         return x.packed_table(packed_contexts(r, x.replies_for(replies, r.seeds, m, np.uint8), key[0].as_py(), m))
 
-    def sort_shard(key, table):
-        contexts, owners, wanted, seeds = [], [], [], []
-        rows = sorted(zip(table.column("batch").to_pylist(), table.column("body").to_pylist(), strict=True))
-        for batch, body in rows:
-            count = int(np.frombuffer(body, np.uint64, 1)[0])
-            seeds.append(np.frombuffer(body, np.uint64, count, 8))
-            size = np.frombuffer(body, np.uint32, count, 8 + 8 * count).tolist()
-            unique = np.frombuffer(body, bool, count, 8 + 12 * count).tolist()
-            at = 8 + 13 * count
-            for own, want in zip(size, unique, strict=True):
-                contexts.append(body[at : at + own])
-                owners.append(batch)
-                wanted.append(want)
-                at += own
-        seed = np.concatenate(seeds)
-        order = np.argsort(seed, kind="stable")
-        hits: list = [None] * len(contexts)
-        for i, hit in zip(order.tolist(), in_parts([contexts[i] for i in order.tolist()], seed[order], length), strict=True):
-            hits[i] = hit
-        bits: dict[int, list[np.ndarray]] = {}
-        for batch, want, hit in zip(owners, wanted, hits, strict=True):
-            if want:
-                bits.setdefault(batch, []).append(hit)
-        return x.packed_table((b, key[0].as_py(), np.packbits(np.concatenate(v)).tobytes()) for b, v in bits.items())
+    def sort_shard(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((b.as_py(), memoryview(body.as_buffer())) for t in tables for b, body in zip(t.column("batch"), t.column("body"), strict=True))
+        shard = Shard(rows, length)
+        shard.sort()
+        for b, bits in shard.replies():
+            yield from x.packed_table([(b, key[0].as_py(), bits)]).to_batches()
 
     def cut(key, table, replies):
         r = Runs(table, length)

@@ -3,7 +3,9 @@
 import re
 from collections import Counter, defaultdict
 
-from psephon.llm import byteruns, components, jaccard, lines, substrings
+import numpy as np
+
+from psephon.llm import byteruns, components, exchange, jaccard, lines, substrings
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 BIG = 1 << 62
@@ -52,6 +54,41 @@ def test_bytes_in_steps(spark, monkeypatch):
         assert all((a == b).all() for a, b in zip(whole, byteruns.runs_in(body, 200), strict=True))
 
 
+def test_hot_seed_is_sorted_in_bounded_parts(monkeypatch):
+    """A passage in many surroundings, some of which repeat: one seed's contexts exceed a part many times."""
+    r, length = np.random.default_rng(5), 200
+    passage = r.integers(0, 256, 260, np.uint8).tobytes()
+    sides = [r.integers(0, 3, 90, np.uint8).tobytes() for _ in range(150)]
+    texts = [sides[i] + passage + sides[(i * 7) % 150][: 20 + i % 60] for i in range(150)]
+    texts += [b"?" * (i % 5) + t[5:] for i, t in enumerate(texts[:60])]
+    runs = {}
+    for t in texts:
+        for first, count, seed, place in zip(*byteruns.runs_in(t, length), strict=True):
+            runs.setdefault(int(seed), []).append((int(place - first), t[first : first + count + length - 1]))
+    seed, own = max(runs.items(), key=lambda item: sum(len(c) for _, c in item[1]))
+    n = len(own)
+    assert sum(len(c) for _, c in own) > 10 * 4096
+    head = [np.uint64(n), np.full(n, seed, np.uint64), np.array([len(c) for _, c in own], np.uint32), np.array([h for h, _ in own], np.uint32), np.ones(n, bool)]
+    monkeypatch.setattr(byteruns, "PART_BYTES", 4096)
+    sorted_, plain = [], byteruns.repeated_starts
+    monkeypatch.setattr(byteruns, "repeated_starts", lambda contexts, k: sorted_.append(sum(map(len, contexts))) or plain(contexts, k))
+    shard = byteruns.Shard(iter([(3, memoryview(b"".join([*(v.tobytes() for v in head), *(c for _, c in own)])))]), length)
+    shard.sort()
+    seen = Counter(c[a : a + length] for _, c in own for a in range(len(c) - length + 1))
+    want = [seen[c[a : a + length]] > 1 for _, c in own for a in range(len(c) - length + 1)]
+    assert any(want) and not all(want)
+    assert shard.hits.tolist() == want and max(sorted_) <= 4096
+    [(batch, bits)] = shard.replies()
+    assert batch == 3 and np.unpackbits(np.frombuffer(bits, np.uint8), count=len(want)).astype(bool).tolist() == want
+
+
+def test_seeds_are_dealt_evenly():
+    body = np.random.default_rng(3).integers(0, 256, 200_000, np.uint8).tobytes()
+    seeds = np.sort(byteruns.runs_in(body, 200)[2])
+    sizes = np.diff(exchange.bucket_bounds(seeds, 16))
+    assert sizes.max() < 2 * len(seeds) / 16
+
+
 def brute_lines(rows):
     order = sorted(range(len(rows)), key=lambda k: (BIG if rows[k][0] is None else rows[k][0], (rows[k][1] or "").encode()))
     seen, out = set(), [None] * len(rows)
