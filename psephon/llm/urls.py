@@ -3,8 +3,12 @@
 **Rules** name a host (with all its subdomains) and the begin of a path; the longest that fits decides.
 
 **Template tree.** Pages that a rule decides are the labelled ones. Per host, paths become templates: segments
-with a digit become ``*``; then, level by level, the segments below one template prefix become ``*`` if they are
-nearly all different (``varied`` of them at least, over half as many as pages). Templates of a host whose share
+with a digit become ``*``; then, level by level down to the deepest, the segments below one template prefix become
+``*`` if they are many and what follows them is alike: ``varied`` of them at least, over half as many as there are
+different rests of paths after them. Rows, repeated urls and other query strings do not count, nor do sub-pages that
+segments have in common. (Segments with different rests of their own, like sections with articles, stay.) The
+DuckDB counterpart compares with pages and ends at level ``DEPTH``: on tables whose variable segments have digits,
+like the given ones, both are the same. Templates of a host whose share
 of blocked pages is statistically like the host's (too few labels, or a chi-square below ``chi``) are merged into
 one branch; the others stay branches of their own. A branch's purity, the share of blocked pages among its
 labelled ones, is smoothed towards the same template's share over all hosts, and that towards the share of all
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 from psephon.llm import exchange as x
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Levels of a path that can be generalised by their variety; copies of the verdicts for the join.
+#: Levels of a path that the DuckDB counterpart generalises by their variety; copies of the verdicts for the join.
 DEPTH, SALT = 4, 8
 
 
@@ -58,19 +62,23 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "pa
     own = own.withColumn("rule", name).withColumn("ruled", verdict).withColumn("raw", raw)
 
     # One row for each host and raw template; raw templates then turn into templates level by level.
-    counted = own.groupBy("host", "raw").agg(F.count("*").alias("n"), F.count_if(F.col("ruled") == "block").alias("b"), F.count_if(F.col("ruled") == "allow").alias("a"))
+    counted = own.groupBy("host", "raw").agg(F.count_if(F.col("ruled") == "block").alias("b"), F.count_if(F.col("ruled") == "allow").alias("a"))
     # (Checkpoints: each of these small tables is used several times, and plans would double at every level.)
     x.shared_dir(pages.sparkSession)
     counted = counted.withColumn("segments", F.split("raw", "/")).withColumn("template", F.lit("")).checkpoint()
-    for level in range(1, DEPTH + 1):
-        segment = F.try_element_at("segments", F.lit(level + 1))
-        counted = counted.withColumn("segment", segment)
-        spread = counted.filter("segment IS NOT NULL AND segment <> '*'").groupBy("host", "template", "segment").agg(F.sum("n").alias("n")).groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum("n").alias("pages"))
-        wild = spread.filter((F.col("kinds") >= varied) & (F.col("kinds") * 2 > F.col("pages"))).select("host", "template", F.lit(True).alias("wild"))
+    level = 0
+    # A level can vary only below a prefix with ``varied`` paths that go on; where none has, nothing deeper can.
+    while not counted.filter(F.size("segments") > level + 1).groupBy("host", "template").agg(F.count("*").alias("paths")).filter(F.col("paths") >= varied).isEmpty():
+        level += 1
+        counted = counted.withColumn("segment", F.try_element_at("segments", F.lit(level + 1)))
+        below = counted.filter("segment IS NOT NULL AND segment <> '*'").withColumn("rest", F.slice("segments", level + 2, 1_000_000))
+        kinds = below.groupBy("host", "template", "segment").agg(F.lit(1).alias("one")).groupBy("host", "template").agg(F.count("*").alias("kinds"))
+        rests = below.groupBy("host", "template", "rest").agg(F.lit(1).alias("one")).groupBy("host", "template").agg(F.count("*").alias("rests"))
+        wild = kinds.filter(F.col("kinds") >= varied).join(rests, ["host", "template"]).filter(F.col("kinds") * 2 > F.col("rests")).select("host", "template", F.lit(True).alias("wild"))
         counted = counted.join(wild, ["host", "template"], "left")
         step = F.when(F.col("segment").isNull(), "").when(F.col("wild"), "/*").otherwise(F.concat(F.lit("/"), F.col("segment")))
         counted = counted.withColumn("template", F.concat("template", step)).drop("wild").checkpoint()
-    deeper = F.slice("segments", DEPTH + 2, 1_000_000)
+    deeper = F.slice("segments", level + 2, 1_000_000)
     counted = counted.withColumn("template", F.when(F.size(deeper) > 0, F.concat_ws("/", F.col("template"), F.array_join(deeper, "/"))).otherwise(F.col("template")))
 
     leaves = counted.groupBy("host", "template").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))

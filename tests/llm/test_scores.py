@@ -158,6 +158,23 @@ def test_urls(spark):
     assert {r.verdict for r in urls.judge(pages, []).collect()} == {"block"}
 
 
+def test_templates_do_not_hang_on_density_or_depth(spark):
+    """Repeated rows, query strings and common sub-pages leave variable segments variable; so does a deep path."""
+    names = [f"{a}{b}" for a in "abcdef" for b in "xyz"]
+    thin = [f"http://h.org/blog/{n}" for n in names] + [f"http://h.org/a/b/c/d/e/{n}" for n in names]
+    dense = [u + q for u in thin for q in ("", "?page=1", "?page=2", "")]
+    dense += [f"http://u.org/user/{n}/{leaf}" for n in names for leaf in ("posts", "about", "likes")]
+    dense += [f"http://s.org/{s}/{s}-{n}" for s in ("news", "sport") for n in names]
+
+    def templates(some):
+        pages = spark.createDataFrame(list(enumerate(some)), "page_id long, url string")
+        return {(r.host, r.path): r.template for r in urls.judge(pages, urls.RULES).collect()}
+
+    got = templates(dense)
+    assert set(got.values()) == {"/blog/*", "/a/b/c/d/e/*", "/user/*/posts", "/user/*/about", "/user/*/likes", "/news/*", "/sport/*"}
+    assert templates(thin).items() <= got.items()
+
+
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     from tests.llm.test_dedup import brute_components, brute_lines
