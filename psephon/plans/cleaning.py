@@ -88,6 +88,14 @@ def name_key(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", s.person_key(words).alias("cand_key"))
 
 
+@query(f"""
+WITH w AS (SELECT doc_id, string_split(nullif({NAME.replace("nm", "text")}, ''), ' ') AS ws FROM documents)
+SELECT doc_id, CASE WHEN ws IS NULL THEN NULL WHEN ws[1] = ws[-1] THEN ws[1] ELSE ws[-1] || ' ' || substr(ws[1], 1, 1) END AS cand_key FROM w""")
+def name_key_whole(spark, sf_dir):
+    """Last name and first initial of whole texts, however long."""
+    return load(spark, sf_dir, "documents").select("doc_id", s.person_key(F.col("text")).alias("cand_key"))
+
+
 @query("""
 WITH t AS (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN c_name WHEN 1 THEN 'At-Large' WHEN 2 THEN 'Twenty-first District' WHEN 3 THEN 'Class I' END AS v FROM customer)
 SELECT c_custkey, v AS seat, CASE WHEN regexp_matches(v, '\\d') THEN CAST(CAST(regexp_extract(v, '(\\d+)', 1) AS BIGINT) AS VARCHAR) WHEN v = 'At-Large' THEN '1' WHEN v LIKE 'Twenty%' THEN '21' END AS district,
@@ -128,6 +136,16 @@ def union_dedupe_first(spark, sf_dir):
     return rel.first_rows(both, ["user_id", "event_type", "absent"], [F.col("src"), F.col("event_id")])
 
 
+@query("""
+WITH u AS (SELECT user_id, event_type, value, NULL::VARCHAR AS note, 0 AS src, event_id FROM events UNION ALL SELECT user_id, event_type, value, 'old' AS note, 1 AS src, event_id FROM events)
+SELECT user_id, event_type, value, note, src, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, event_id ORDER BY src, event_id) AS rn FROM u) WHERE rn = 1""")
+def union_dedupe_whole(spark, sf_dir):
+    """The whole table twice, united by name; every event's row of the first source stays."""
+    e = load(spark, sf_dir, "events").select("user_id", "event_type", "value", "event_id")
+    both = rel.union_all([e.withColumn("src", F.lit(0)), e.withColumns({"src": F.lit(1), "note": F.lit("old")})])
+    return rel.first_rows(both, ["user_id", "event_type", "event_id", "absent"], [F.col("src"), F.col("event_id")])
+
+
 @query("""
 SELECT d.source, d.lang, count(*) AS n, sum(CASE WHEN l.doc_id IS NULL THEN 0 ELSE 1 END)::BIGINT AS matched, round(avg(CASE WHEN l.doc_id IS NULL THEN 0 ELSE 1 END), 6) AS match_rate
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1, 2""")
