@@ -86,7 +86,7 @@ f AS (SELECT fold, count(*) AS n, count(DISTINCT race) AS n_races, {AUC} AS auc,
 SELECT fold::VARCHAR AS fold, CAST(n AS DOUBLE) AS n, CAST(n_races AS DOUBLE) AS n_races, round(auc, 6) AS auc, round(brier, 6) AS brier, round(logloss, 6) AS logloss, round(accuracy, 6) AS accuracy, round(race_acc, 6) AS race_acc, round(baseline_acc, 6) AS baseline_acc FROM f
 UNION ALL SELECT 'mean' AS fold, round(avg(n), 6) AS n, round(avg(n_races), 6) AS n_races, round(avg(auc), 6) AS auc, round(avg(brier), 6) AS brier, round(avg(logloss), 6) AS logloss, round(avg(accuracy), 6) AS accuracy, round(avg(race_acc), 6) AS race_acc, round(avg(baseline_acc), 6) AS baseline_acc FROM f""")
 def loco_report(spark, sf_dir):
-    """All metrics of each period held out, and their means."""
+    """Baseline report: metrics of each year's softmax of its own mean readings, and their means. Nothing is fitted or held out."""
     c = ballots(spark, sf_dir).groupBy(F.col("year").alias("fold"), "race", "party").agg(F.round(F.avg("pct"), 9).alias("score"), F.max("pct").alias("best"), F.count("*").alias("votes"))
     c = c.withColumn("key", F.struct("fold", "race"))
     top = win.winners(c, ["fold", "race"], "votes", "party").select("fold", "race", F.col("party").alias("winner"))
@@ -99,15 +99,30 @@ def loco_report(spark, sf_dir):
     return rounded(by_fold.unionByName(by_fold.agg(*[F.avg(n).alias(n) for n in names]).withColumn("fold", F.lit("mean"))))
 
 
+def labelled(spark, sf_dir):
+    """Every document with its features, fold by id and label (null without one)."""
+    d = load(spark, sf_dir, "documents").select("doc_id", "n_chars", F.length(F.regexp_replace("text", "[^A-Z]", "")).alias("upper"), F.length(F.regexp_replace("text", "[^|!#$%&*]", "")).alias("marks"), F.size(F.split("text", "\n")).alias("lines"))
+    fold = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(3)).cast("int")
+    return d.join(load(spark, sf_dir, "labels"), "doc_id", "left").withColumn("y", F.col("quality").cast("double")).withColumn("fold", fold)
+
+
+FEATURES, GRID = ["n_chars", "upper", "marks", "lines"], {"maxDepth": [2, 3], "maxIter": [5], "stepSize": [0.3]}
+
+
 @query()
 def gbt_fit_predict(spark, sf_dir):
-    """Boosted trees over labelled documents, folds by id, a small grid; scores of the held-out fold and ranked importances."""
-    from psephon.plans.model import grid_search, importances
+    """Boosted trees, folds by id, a grid of two points: for every document its score by the model of the other folds."""
+    from psephon.plans.model import grid_search, out_of_fold
+
+    rows = labelled(spark, sf_dir)
+    best = grid_search(rows.filter("y IS NOT NULL"), FEATURES, "y", "fold", [0, 1, 2], GRID, n=2)
+    return out_of_fold(rows, FEATURES, "y", "fold", [0, 1, 2], best).select("doc_id", "fold", "y", F.round("p", 9).alias("p"))
 
-    d = load(spark, sf_dir, "documents").select("doc_id", "n_chars", F.length(F.regexp_replace("text", "[^A-Z]", "")).alias("upper"), F.length(F.regexp_replace("text", "[^|!#$%&*]", "")).alias("marks"), F.size(F.split("text", "\n")).alias("lines"))
-    rows = d.join(load(spark, sf_dir, "labels"), "doc_id").withColumn("y", F.col("quality").cast("double")).withColumn("fold", (F.col("doc_id") % 3).cast("int"))
-    features = ["n_chars", "upper", "marks", "lines"]
-    best = grid_search(rows, features, "y", "fold", [0, 1, 2], {"maxDepth": [2, 3], "maxIter": [5], "stepSize": [0.3]}, n=2)
-    return importances(rows, features, "y", best)
 
+@query()
+def gbt_importances(spark, sf_dir):
+    """Ranked importances of boosted trees over all labelled documents, at the best of a grid of two points."""
+    from psephon.plans.model import grid_search, importances
 
+    rows = labelled(spark, sf_dir).filter("y IS NOT NULL")
+    return importances(rows, FEATURES, "y", grid_search(rows, FEATURES, "y", "fold", [0, 1, 2], GRID, n=2))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import itertools
 import random
+from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
@@ -57,6 +58,13 @@ def grid_search(df: DataFrame, features: list[str], label: str, fold: str, folds
     return best
 
 
+def out_of_fold(df: DataFrame, features: list[str], label: str, fold: str, folds: list[int], params: dict) -> DataFrame:
+    """All rows of ``folds``, labelled or not, with ``p`` by the model of the other folds' labelled rows."""
+    known = df.filter(F.col(label).isNotNull())
+    parts = [predict(fit(known.filter(F.col(fold) != k), features, label, **params), df.filter(F.col(fold) == k), features) for k in folds]
+    return reduce(DataFrame.unionByName, [p.select(*df.columns, "p") for p in parts])
+
+
 def importances(df: DataFrame, features: list[str], label: str, params: dict) -> DataFrame:
     """(feature, gain_importance, rank)."""
     model = fit(df, features, label, **params).stages[-1]

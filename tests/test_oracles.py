@@ -38,6 +38,12 @@ def test_query(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+def test_gbt_scores_every_document(spark):
+    got = registry.queries()["gbt_fit_predict"](spark, SF).toPandas()
+    ids = spark.read.parquet(f"{SF}/documents.parquet").toPandas().doc_id
+    assert sorted(got.doc_id) == sorted(ids) and got.p.between(0, 1).all() and set(got.fold) == {0, 1, 2}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
