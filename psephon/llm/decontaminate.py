@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from psephon.llm.bpe import slices
+from psephon.llm.exchange import slices
 
 #: Characters of items that go to the workers at once.
 BLOCK_CHARS = 16_000_000

@@ -19,7 +19,7 @@ in the same order.
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 #: Bytes of (compressed) input for each batch and for each bucket, and how many of both for each shuffle partition at
 #: least. Buckets are fewer: a batch sends a row to each, and rows of a few keys would cost more than the keys.
 BATCH_BYTES, BUCKET_BYTES, PER_PARTITION = 1_500_000, 8_000_000, 2
+#: Bytes of text that pass through a worker together.
+SLICE_BYTES = 4_000_000
 #: Stands for a null id in comparisons: a null id comes after all others.
 NO_ID = np.iinfo(np.int64).max
 KEYS = "batch int, bucket int, body binary"
@@ -66,6 +68,17 @@ def batched(docs: DataFrame, n: int, id_col: str, text_col: str, *extra: Column)
     return docs.select(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("batch"), key.alias("doc_id"), F.col(text_col).cast("binary").alias("body"), *extra)
 
 
+def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that no slice has over ``most`` bytes of text, but for a single longer text."""
+    for batch in batches:
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0), np.int64)
+        start = 0
+        while start < len(sizes):
+            stop = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:]), most, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def ordered(table: pa.Table) -> tuple[pa.Array, np.ndarray, list[bytes], list[int]]:
     """A batch in its fixed order: ids as given, ids with ``NO_ID`` for null, texts (null: empty), and the order itself."""
     ids = np.asarray(pc.fill_null(table.column("doc_id"), int(NO_ID)), np.int64)
@@ -74,19 +87,9 @@ def ordered(table: pa.Table) -> tuple[pa.Array, np.ndarray, list[bytes], list[in
     return table.column("doc_id").combine_chunks().take(pa.array(order, pa.int64())), ids[order], [bodies[i] for i in order], order
 
 
-class WordHashes(dict):
-    """Memo of 64-bit word hashes, dropped when it grows past ``most`` words."""
-
-    most = 300_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hash of each word. (A memo of words would cost more time than the hashes, and memory.)"""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from psephon.llm import exchange as x
-from psephon.llm.bpe import slices
+from psephon.llm.exchange import slices
 from psephon.llm.components import components
 
 #: The frequency sketch: counters, and parts in which it is summed. The orders' seeds.
@@ -47,13 +47,12 @@ SLICE_BYTES = 2_000_000
 BROADCAST_ROWS = 1_000_000
 #: Nodes in each of a tile's two blocks, about.
 BLOCK = 768
-_memo = x.WordHashes()
 
 
 def shingle_sets(bodies: list[bytes], k: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingles of each text."""
     words, counts = x.split_words(bodies, lower=True)
-    h = _memo.of(words)
+    h = x.hashes(words)
     runs = x.runs_of(h, k)
     out, start = [], 0
     for count in counts.tolist():

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from psephon.llm.bpe import slices
+from psephon.llm.exchange import slices
 
 #: Bytes in a row of blocks, blocks in a row, rows of blocks in an image at most.
 UNIT, ACROSS, ROWS = 576, 9, 8191

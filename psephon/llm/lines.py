@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from psephon.llm import exchange as x
 
-_memo = x.WordHashes()
 
 
 class LineWindows:
@@ -31,7 +30,7 @@ class LineWindows:
         split = [body.split(b"\n") for body in bodies]
         self.lines = [line for own in split for line in own]
         self.counts = np.array([len(own) for own in split], np.int64)
-        h = _memo.of(self.lines)
+        h = x.hashes(self.lines)
         doc = np.repeat(np.arange(len(bodies)), self.counts)
         n = max(0, len(h) - span + 1)
         self.starts = np.flatnonzero(doc[:n] == doc[span - 1 : span - 1 + n])

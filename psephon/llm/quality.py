@@ -22,11 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from psephon.llm import exchange as x
-from psephon.llm.bpe import slices
+from psephon.llm.exchange import slices
 
 PASSAGE, SAMPLE, SAMPLE_PASSAGES = 50, 4000, 24
 WIDTH, GATE, STEPS, RATE, DECAY = 16, 8, 300, 0.03, 1e-4
-_memo = x.WordHashes()
 
 #: Byte classes that are counted in each passage: ASCII sets, and all bytes beyond ASCII.
 CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b".,;:?'\"-()", b"!", b"#$%&*@^~=+<>{}[]\\/_`", b"|", bytes(range(128, 256))]
@@ -51,7 +50,7 @@ def passage_features(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     n_class = len(CLASSES) + 1
     kinds = np.bincount(bytes_of * n_class + table[joined], minlength=total * n_class).reshape(total, n_class).astype(np.float64)
     n_bytes = np.maximum(kinds.sum(1), 1)
-    h = _memo.of(words)
+    h = x.hashes(words)
     same = np.append(False, (h[1:] == h[:-1]) & (passage[1:] == passage[:-1])) if len(h) else np.empty(0, bool)
     distinct = np.unique(x.mixed(h ^ (passage.astype(np.uint64) * x.GOLDEN)), return_index=True)[1]
     last = joined[np.cumsum(size) - 1] if len(words) else joined

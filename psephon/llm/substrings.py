@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from psephon.llm import exchange as x
 
 SEED = 5
-_memo = x.WordHashes()
 
 
 class Windows:
@@ -36,7 +35,7 @@ class Windows:
     def __init__(self, table: pa.Table, window: int):
         self.shown, self.ids, bodies, _ = x.ordered(table)
         self.words, self.counts = x.split_words(bodies, lower=False)
-        self.window, self.h = window, _memo.of(self.words)
+        self.window, self.h = window, x.hashes(self.words)
         doc = np.repeat(np.arange(len(bodies)), self.counts)
         n = max(0, len(self.words) - window + 1)
         self.starts = np.flatnonzero(doc[:n] == doc[window - 1 : window - 1 + n])

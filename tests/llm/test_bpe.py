@@ -32,15 +32,37 @@ def test_like_the_library(tools):
 
 
 def test_full_table(tools, monkeypatch):
-    """Steps beyond the table, and a memo that overflows, change nothing."""
-    monkeypatch.setattr(bpe, "STATES", 5)
-    monkeypatch.setattr(bpe, "WORDS", 3)
-    monkeypatch.setattr(bpe, "PAIRS", 10)
-    encoder = bpe.Encoder(tools[0].transducer.ranks, bpe.class_differences(public_tokenizers.PATTERN))
-    for text in ("unbelievable transformations, indeed", "aaaaabbbbbaaaaab zzzq", "naïveté überfällig"):
+    """A table of arcs and a memo that overflow, and long pretokens that pass alone, change nothing."""
+    for name, value in {"ARCS": 5, "MEMO_BYTES": 1000, "LONG": 6, "LOOK": 8}.items():
+        monkeypatch.setattr(bpe, name, value)
+    encoder = bpe.Encoder(bpe.read_ranks(vocabulary()[0]), bpe.class_differences(public_tokenizers.PATTERN), tools[0].transducer.t)
+    r = random.Random(3)
+    texts = ["unbelievable transformations, indeed", "aaaaabbbbbaaaaab zzzq", "naïveté überfällig", "x" * 99]
+    texts += ["".join(r.choice("aeinorst") for _ in range(60)) + " " + "".join(r.choice("ab") for _ in range(50)) for _ in range(200)]
+    for text in texts:
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tools[2].encode_ordinary(text)
 
 
+def test_long_pretoken(tools):
+    """Tokens come out on the way, and what is held is bounded."""
+    r = random.Random(4)
+    word = "".join(r.choice("abcdefghinorst") for _ in range(50_000)).encode()
+    chunks = list(tools[0].transducer.stream(word))
+    assert np.concatenate(chunks).tolist() == tools[2].encode_ordinary(word.decode())
+    assert max(map(len, chunks)) <= bpe.LOOK + 200
+    same = list(tools[0].transducer.stream(b"a" * 20_000))
+    assert np.concatenate(same).tolist() == tools[2].encode_ordinary("a" * 20_000)
+
+
+def test_blank_lines(tools):
+    r = random.Random(6)
+    words = ["the", "Über", "x1", "don't", "end.", "漢字"]
+    for _ in range(300):
+        text = "".join(r.choice(words) + r.choice([" ", " ", "\n", "\n\n", "  ", " \n", "\t", "\r\n", "\u00a0"]) for _ in range(20))
+        assert np.frombuffer(tools[0].encode(text), "<u4").tolist() == tools[2].encode_ordinary(text)
+        assert np.frombuffer(tools[0].encode(text.strip()), "<u4").tolist() == tools[2].encode_ordinary(text.strip())
+
+
 def test_streaming_decoder(tools):
     _, decoder, theirs = tools
     text = "a漢é😀\u0301ß" * 5
