@@ -3,26 +3,28 @@
 Every text becomes the set of its distinct ``k``-word shingles. Two documents link when ``100 * |A and B| >= percent
 * |A or B|``. Texts with equal sets are one class, a node of the graph; classes are found by a 64-bit digest of the set.
 
-Under any global order of shingles, linked sets share a shingle among their first ``|A| - ceil(t |A|) + 1``. Each of
-the orders here puts frequent shingles last (the class of a shingle's frequency, from a sketch of fixed size that
-every shingle of every document is counted into) and orders shingles of one class by its own hash. So a passage that
-many documents share does not generate candidates, unless a document has little else.
+Under any global order of shingles, linked sets share a shingle among their first ``|A| - ceil(t |A|) + 1``, their
+prefixes; indeed as many as ``need`` says, for few members of a linked set are outside the other. There are three
+orders. Each puts frequent shingles last (the class of a shingle's frequency, from a sketch that every shingle of every
+document is counted into) and orders shingles of one class by a hash of its own. So a passage that many documents
+share does not generate candidates, unless a document has little else.
 
 1. The first order's prefixes go, packed, to buckets. A bucket makes *lists*: the nodes with one prefix shingle, cut
    where no two sizes can link. Equal lists are kept once. Lists, not pairs, are what is shuffled.
-2. Each list's least node is paired with the others (a list of n gives n - 1 pairs). Pairs must also agree under the
-   second order, a plain hash order: of its first quarter, sent as 16-bit values, linked sets share more than half,
-   since they differ in few shingles at all. Pairs that are left must share a prefix shingle under the third order,
-   and are verified on the whole sets. Components of the links follow.
+2. Each list's least node is paired with the others (a list of n gives n - 1 pairs). A pair is a candidate if the
+   prefixes under the second and under the third order, kept as 16-bit values, share enough too. Only then are texts
+   moved and whole sets compared. Components of the links follow.
 3. The lists of one least node make a *cluster*. Clusters that still span components are cut into tiles of two blocks
-   of at most ``BLOCK`` nodes. In a tile, counts of shared members are kept in a matrix: first of the second order's
-   quarters, and then, for nodes that have a partner of another component after that filter, of the whole sets. A tile returns a spanning forest of its links, never its pairs.
+   of at most ``BLOCK`` nodes. In a tile, counts of shared members are kept in a matrix: of the second and third
+   orders' prefixes, and then, for nodes that have a partner of another component after both, of the whole sets. A tile
+   returns a spanning forest of its links, never its pairs.
 
 Linked sets share a prefix shingle of the first order, so both are in one list and in its cluster: the components are
 exact. Copies are one node, and clusters within one component (most groups of near copies) are left out.
 
 Defined results. Null or empty texts: an empty set, component their own id, links with nothing. Fewer words than a
-shingle: the whole sequence is one. Null ids: take part, report a null id, and give the component no name.
+shingle: the whole sequence is one. Null ids: take part, report a null id, and give the component no name. Rows are
+told apart by id and a digest of the text, so null or repeated ids with different texts are nodes of their own.
 Repeated rows: each is reported. An empty table gives an empty result. Very long texts are read whole. Other
 columns do not matter.
 """
@@ -43,7 +45,7 @@ from psephon.llm.components import components
 COUNTERS, PARTS = 1 << 18, 64
 ORDERS = tuple(np.uint64(s) for s in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0))
 SLICE_BYTES = 2_000_000
-#: Rows of 16 bytes (nodes of candidate pairs) that are broadcast at most.
+#: Rows of 24 bytes (rows that stand for nodes of candidate pairs) that are broadcast at most.
 BROADCAST_ROWS = 1_000_000
 #: Nodes in each of a tile's two blocks, about.
 BLOCK = 768
@@ -82,35 +84,46 @@ def in_order(own: np.ndarray, rank: np.ndarray, order: int, percent: int) -> np.
     return np.sort(keys)[:size] if n else own
 
 
-def quarter(own: np.ndarray) -> np.ndarray:
-    """The set's members in the first quarter of the second order, as sorted distinct 16-bit values."""
-    m = x.mixed(own ^ ORDERS[1])
-    return np.unique((m[m < np.uint64(1 << 62)] >> np.uint64(46)).astype(np.uint16))
+def near(own: np.ndarray, rank: np.ndarray, order: int, percent: int) -> np.ndarray:
+    """The prefix under one order as sorted distinct 16-bit values."""
+    return np.unique((x.mixed(in_order(own, rank, order, percent)) >> np.uint64(48)).astype(np.uint16))
 
 
-def may_link(p: np.ndarray, q: np.ndarray, n_p: int, n_q: int, percent: int) -> bool:
-    """Whether two quarters allow a link: linked sets differ in so many shingles at most, and so do images of their parts."""
-    differ = n_p + n_q - 2 * -(-percent * (n_p + n_q) // (100 + percent))
-    return 2 * len(np.intersect1d(p, q, assume_unique=True)) >= len(p) + len(q) - differ
+def need(p, q, n_p, n_q, percent: int):
+    """How many values the prefixes (``p`` and ``q`` distinct ones) of linked sets (``n_p`` and ``n_q`` members) share at least.
+
+    Of the set whose prefix ends first, all members before that end that the other has are in the other's prefix; and
+    no more than its size less the overlap are members that the other lacks.
+    """
+    overlap = -(-percent * (n_p + n_q) // (100 + percent))
+    return np.maximum(1, np.minimum(p - n_p, q - n_q) + overlap)
+
+
+def may_link(p: bytes, q: bytes, n_p: int, n_q: int, percent: int) -> bool:
+    """Whether two packed prefixes allow a link."""
+    a, b = np.frombuffer(p, np.uint16), np.frombuffer(q, np.uint16)
+    return len(np.intersect1d(a, b, assume_unique=True)) >= need(len(a), len(b), n_p, n_q, percent)
+
+
+def bodies_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, key, body): ``key`` digests the text, in the JVM; id and key tell rows apart."""
+    body = F.col(text_col).cast("binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(body).alias("key"), body.alias("body"))
 
 
-def sets_and_sketch(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """One pass: (doc_id, node, n, near) of each document, and the partial frequency sketches (part, counts)."""
+def sketch(bodies: DataFrame, k: int) -> DataFrame:
+    """(part, counts): partial frequency sketches."""
 
     def run(batches):
         total = np.zeros(COUNTERS, np.int64)
-        schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("near", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
         for part in slices(batches, "body", SLICE_BYTES):
-            sets = shingle_sets([b or b"" for b in part.column(1).to_pylist()], k)
+            sets = shingle_sets([b or b"" for b in part.column(0).to_pylist()], k)
             if sets:
                 total += np.bincount(counter_of(np.concatenate(sets)), minlength=COUNTERS)
-            size = len(sets)
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([quarter(s).tobytes() for s in sets], pa.binary()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], schema=schema)
         if total.any():
-            rows = [c.tobytes() for c in np.split(total, PARTS)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(PARTS, pa.int64())] * 3 + [pa.nulls(PARTS, pa.binary()), pa.array(range(PARTS), pa.int32()), pa.array(rows, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([c.tobytes() for c in np.split(total, PARTS)], pa.binary())], names=["part", "counts"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body")).mapInArrow(run, "doc_id long, node long, n long, near binary, part int, counts binary")
+    return bodies.select("body").mapInArrow(run, "part int, counts binary")
 
 
 def frequency_ranks(sketches: DataFrame) -> np.ndarray:
@@ -127,26 +140,43 @@ def frequency_ranks(sketches: DataFrame) -> np.ndarray:
     return np.clip(np.floor(np.log2((counts + 1) / (1 + mean + 3 * np.sqrt(mean)))) + 1, 0, 31).astype(np.uint8)
 
 
-def lists_of(docs: DataFrame, ranks, id_col: str, text_col: str, k: int, percent: int, n_units: int) -> DataFrame:
-    """(list, members): packed (node, size) of the nodes with one prefix shingle of the first order."""
+def prefixes(bodies: DataFrame, ranks, k: int, percent: int, n_units: int) -> DataFrame:
+    """One pass: (doc_id, key, node, n, second, third) of each document, and its first prefix, packed by bucket (bucket, packed).
+
+    ``second`` and ``third`` are the prefixes under those orders.
+    """
+    names = ["doc_id", "key", "node", "n", "second", "third", "bucket", "packed"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
 
-    def send(batches):
+    def run(batches):
         for part in slices(batches, "body", SLICE_BYTES):
-            nodes = {node_of(s): s for s in shingle_sets([b or b"" for b in part.column(0).to_pylist()], k) if len(s)}
-            tokens = [x.mixed(in_order(s, ranks.value, 0, percent)) for s in nodes.values()]
-            if not tokens:
+            sets = shingle_sets([b or b"" for b in part.column(2).to_pylist()], k)
+            nodes = [node_of(s) if len(s) else None for s in sets]
+            rank, size = ranks.value, len(sets)
+            own = [pa.array(c, t) for c, t in zip((nodes, map(len, sets), *([near(s, rank, order, percent).tobytes() for s in sets] for order in (1, 2))), kinds[2:6], strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *own, pa.nulls(size, kinds[6]), pa.nulls(size, kinds[7])], names=names)
+            distinct = {node: s for node, s in zip(nodes, sets, strict=True) if node is not None}
+            if not distinct:
                 continue
-            size = np.array([len(t) for t in tokens])
-            node = np.repeat(np.fromiter(nodes, np.int64, len(nodes)), size)
-            n = np.repeat(np.array([len(s) for s in nodes.values()], np.uint32), size)
+            tokens = [x.mixed(in_order(s, rank, 0, percent)) for s in distinct.values()]
+            sizes = np.array([len(t) for t in tokens])
+            node = np.repeat(np.fromiter(distinct, np.int64, len(distinct)), sizes)
+            n = np.repeat(np.array([len(s) for s in distinct.values()], np.uint32), sizes)
             tokens = np.concatenate(tokens)
             order = np.argsort(tokens)
             rows = list(x.deal(0, n_units, tokens[order], node[order], n[order]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "body"])
+            none = [pa.nulls(len(rows), t) for t in kinds[:6]]
+            yield pa.RecordBatch.from_arrays([*none, pa.array([r[1] for r in rows], kinds[6]), pa.array([r[2] for r in rows], kinds[7])], names=names)
+
+    return bodies.mapInArrow(run, "doc_id long, key long, node long, n long, second binary, third binary, bucket int, packed binary")
+
+
+def lists_of(sent: DataFrame, percent: int) -> DataFrame:
+    """(list, members): packed (node, size) of the nodes with one prefix shingle of the first order."""
 
     def meet(key, table):
         columns: list[list[np.ndarray]] = [[], [], []]
-        for body in table.column("body").to_pylist():
+        for body in table.column("packed").to_pylist():
             n = len(body) // 20
             for c, d, at in zip(columns, (np.uint64, np.int64, np.uint32), (0, 8 * n, 16 * n), strict=True):
                 c.append(np.frombuffer(body, d, n, at))
@@ -164,7 +194,6 @@ def lists_of(docs: DataFrame, ranks, id_col: str, text_col: str, k: int, percent
                 out[xxhash.xxh3_64_intdigest(members) - (1 << 63)] = members
         return pa.table([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["list", "members"])
 
-    sent = docs.select(F.col(text_col).cast("binary").alias("body")).mapInArrow(send, "bucket int, body binary")
     return sent.groupBy("bucket").applyInArrow(meet, "list long, members binary").dropDuplicates(["list"])
 
 
@@ -236,7 +265,7 @@ def forest(links: np.ndarray, labels: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def cluster_links(lists: DataFrame, found: DataFrame, docs: DataFrame, keepers: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+def cluster_links(lists: DataFrame, found: DataFrame, bodies: DataFrame, keepers: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b): links between different components within clusters, as many as it takes to join them."""
     rows = cluster_rows(lists).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     spans = rows.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).filter("low < high")
@@ -245,128 +274,136 @@ def cluster_links(lists: DataFrame, found: DataFrame, docs: DataFrame, keepers:
     tiled = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     tiled = tiled.select("hub", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "component")
 
-    def possible(n, labels, quarters):
-        """Pairs of different components whose quarters allow a link, as a matrix, and the sizes of both sets together."""
-        both = n[:, None] + n[None, :]
-        differ = both - 2 * -(-percent * both // (100 + percent))
-        q = np.array([len(own) for own in quarters], np.int64)
-        return (labels[:, None] != labels[None, :]) & (2 * overlaps(quarters) >= q[:, None] + q[None, :] - differ), both
+    def possible(n, labels, *orders):
+        """Pairs of different components that all orders' prefixes allow to link, as a matrix."""
+        may = labels[:, None] != labels[None, :]
+        for own in orders:
+            size = np.array([len(p) for p in own], np.int64)
+            may &= overlaps(own) >= need(size[:, None], size[None, :], n[:, None], n[None, :], percent)
+        return may
 
     def shortlist(key, table):
         """The tile's nodes that have such a partner: only their texts are moved."""
-        quarters = [np.frombuffer(q, np.uint16) for q in table.column("near").to_pylist()]
-        may, _ = possible(np.asarray(table.column("n")), np.asarray(table.column("component")), quarters)
+        own = ([np.frombuffer(q, np.uint16) for q in table.column(c).to_pylist()] for c in ("second", "third"))
+        may = possible(np.asarray(table.column("n")), np.asarray(table.column("component")), *own)
         return table.filter(pa.array(may.any(1))).select(["hub", "i", "j", "node", "component"])
 
-    tiled = tiled.join(keepers.select("node", "n", "near"), "node").groupBy("hub", "i", "j").applyInArrow(shortlist, "hub long, i int, j int, node long, component long").checkpoint()
-    texts = node_texts(tiled.select("node").distinct(), docs, keepers, id_col, text_col)
+    tiled = tiled.join(keepers.select("node", "n", "second", "third"), "node").groupBy("hub", "i", "j").applyInArrow(shortlist, "hub long, i int, j int, node long, component long").checkpoint()
+    texts = node_texts(tiled.select("node").distinct(), bodies, keepers)
 
     def judge(key, table):
         ids, labels = np.asarray(table.column("node")), np.asarray(table.column("component"))
         sets = shingle_sets([t or b"" for t in table.column("body").to_pylist()], k)
-        ok = [i for i, own in enumerate(sets) if len(own) and node_of(own) == ids[i]]
-        ok = [ok[i] for i in np.unique(ids[ok], return_index=True)[1].tolist()]
-        sets, ids, labels = [sets[i] for i in ok], ids[ok], np.unique(labels[ok], return_inverse=True)[1]
+        labels = np.unique(labels, return_inverse=True)[1]
         n = np.array([len(own) for own in sets], np.int64)
-        may, both = possible(n, labels, [quarter(own) for own in sets])
-        if not may.any():
-            return pa.table([pa.array([], pa.int64())] * 2, names=["a", "b"])
-        live = np.flatnonzero(may.any(1))
-        shared = overlaps([sets[i] for i in live.tolist()])
-        links = may[np.ix_(live, live)] & (100 * shared >= percent * (both[np.ix_(live, live)] - shared))
-        pairs = forest(links, labels[live])
-        return pa.table([pa.array([ids[live[p[side]]] for p in pairs], pa.int64()) for side in (0, 1)], names=["a", "b"])
+        shared, both = overlaps(sets), n[:, None] + n[None, :]
+        links = (labels[:, None] != labels[None, :]) & (100 * shared >= percent * (both - shared))
+        pairs = forest(links, labels)
+        return pa.table([pa.array([ids[p[side]] for p in pairs], pa.int64()) for side in (0, 1)], names=["a", "b"])
 
     return tiled.join(texts, "node").groupBy("hub", "i", "j").applyInArrow(judge, "a long, b long")
 
 
-def node_texts(nodes: DataFrame, docs: DataFrame, keepers: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, body) of the documents of least id of some nodes; of rows with one id, all."""
-    needed = nodes.join(keepers.select("node", "keeper"), "node").checkpoint()
+def node_texts(nodes: DataFrame, bodies: DataFrame, keepers: DataFrame) -> DataFrame:
+    """(node, body) of the rows that stand for some nodes, each node once however often its row is repeated."""
+    needed = nodes.join(keepers.select("node", F.col("row.doc_id").alias("of"), F.col("row.key").alias("of_key")), "node").checkpoint()
     if needed.count() <= BROADCAST_ROWS:  # else a shuffle join of all texts
         needed = F.broadcast(needed)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body"))
-    return texts.join(needed, F.col("doc_id").eqNullSafe(F.col("keeper"))).select("node", "body")
+    mine = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key"))
+    return bodies.join(needed, mine).groupBy("node").agg(F.first("body").alias("body"))
 
 
-def near(pairs: DataFrame, keepers: DataFrame, percent: int) -> DataFrame:
-    """Those pairs whose quarters allow a link."""
-    left = keepers.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("near").alias("pa"))
-    right = keepers.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("near").alias("pb"))
+def candidates(pairs: DataFrame, keepers: DataFrame, percent: int) -> DataFrame:
+    """Those pairs that share enough of their prefixes under the second and under the third order."""
+    sides = [keepers.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "second", "third")]) for s in "ab"]
 
     def run(batches):
         for batch in batches:
-            _, _, na, p, nb, q = (c.to_pylist() for c in batch.columns)
-            mask = pa.array([may_link(np.frombuffer(r, np.uint16), np.frombuffer(t, np.uint16), i, j, percent) for r, t, i, j in zip(p, q, na, nb, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+            _, _, n_a, n_b, *packed = (c.to_pylist() for c in batch.columns)
+            mask = [may_link(p, q, i, j, percent) and may_link(r, t, i, j, percent) for i, j, p, q, r, t in zip(n_a, n_b, *packed, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(mask, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "pa", "nb", "pb").mapInArrow(run, "a long, b long")
+    joined = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "n_b", "second_a", "second_b", "third_a", "third_b")
+    return joined.mapInArrow(run, "a long, b long")
 
 
-def linked(pairs: DataFrame, docs: DataFrame, keepers: DataFrame, ranks, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """Those pairs that share a prefix shingle under the last order and whose whole sets link. ``pairs`` is checkpointed.
+def linked(pairs: DataFrame, bodies: DataFrame, keepers: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those pairs whose whole sets link. ``pairs`` is checkpointed.
 
     Texts, which compress, are what is moved to the pairs; sets are made again where pairs meet.
     """
-    texts = node_texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs, keepers, id_col, text_col)
+    texts = node_texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), bodies, keepers)
     left = texts.select(F.col("node").alias("a"), F.col("body").alias("ta"))
     right = texts.select(F.col("node").alias("b"), F.col("body").alias("tb"))
 
-    def shared(p: np.ndarray, q: np.ndarray) -> int:
-        return len(np.intersect1d(p, q, assume_unique=True))
-
     def verify(batches):
         for batch in batches:
             for part in slices(batch_of_pairs(batch), "both", SLICE_BYTES):
                 ids = [part.column(0).to_pylist(), part.column(1).to_pylist()]
-                bodies = list({row for side in (0, 1) for row in zip(ids[side], part.column(2 + side).to_pylist(), strict=True)})
-                found = zip(bodies, shingle_sets([t or b"" for _, t in bodies], k), strict=True)
-                sets = {node: own for (node, _), own in found if len(own) and node_of(own) == node}  # texts of one id can differ
-                prefixes = {node: in_order(own, ranks.value, 2, percent) for node, own in sets.items()}
+                bodies = {node: t for side in (0, 1) for node, t in zip(ids[side], part.column(2 + side).to_pylist(), strict=True)}
+                sets = dict(zip(bodies, shingle_sets(list(bodies.values()), k), strict=True))
                 ok = []
                 for a, b in zip(*ids, strict=True):
-                    if a not in sets or b not in sets or not shared(prefixes[a], prefixes[b]):
-                        ok.append(False)
-                        continue
-                    both = shared(sets[a], sets[b])
+                    both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
                     ok.append(100 * both >= percent * (len(sets[a]) + len(sets[b]) - both))
                 mask = pa.array(ok, pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(1).filter(mask)], names=["a", "b"])
 
     def batch_of_pairs(batch):
         """One batch, with the column by whose size it is cut."""
-        both = pa.array([(s or b"") + (t or b"") for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.binary())
+        both = pa.array([s + t for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.binary())
         yield pa.RecordBatch.from_arrays([*batch.columns, both], names=["a", "b", "ta", "tb", "both"])
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, node) of every document."""
+def jaccard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, key, n_shingles, component_id, node, component) of every document: ``key`` digests its text, ``component`` is a node."""
     spark = docs.sparkSession
     x.shared_dir(spark)
-    passed = sets_and_sketch(docs, id_col, text_col, k).checkpoint()
-    rows = passed.filter("part IS NULL")
-    sets = rows.select("doc_id", "node", "n")
-    ranks = spark.sparkContext.broadcast(frequency_ranks(passed.filter("part IS NOT NULL").select("part", "counts")))
-    keepers = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("keeper"), F.first("n").alias("n"), F.first("near").alias("near")).checkpoint()
-
-    lists = lists_of(docs, ranks, id_col, text_col, k, percent, x.unit_counts(docs)[1]).checkpoint()
+    bodies = bodies_of(docs, id_col, text_col)
+    ranks = spark.sparkContext.broadcast(frequency_ranks(sketch(bodies, k)))
+    passed = prefixes(bodies, ranks, k, percent, x.unit_counts(docs)[1]).checkpoint()
+    rows = passed.filter("bucket IS NULL")
+    least = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    keepers = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min(least).alias("row"), *[F.first(c).alias(c) for c in ("n", "second", "third")]).checkpoint()
+
+    lists = lists_of(passed.filter("bucket IS NOT NULL").select("bucket", "packed"), percent).checkpoint()
     stars = star_pairs(lists, percent).checkpoint()
-    links = linked(near(stars, keepers, percent).checkpoint(), docs, keepers, ranks, id_col, text_col, k, percent).distinct().checkpoint()
+    links = linked(candidates(stars, keepers, percent).checkpoint(), bodies, keepers, k, percent).distinct().checkpoint()
     found = components(links).checkpoint()
-    links = links.unionByName(cluster_links(lists, found, docs, keepers, id_col, text_col, k, percent))
+    links = links.unionByName(cluster_links(lists, found, bodies, keepers, k, percent))
     found = components(links)
 
-    named = keepers.select("node", "keeper").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = keepers.select("node", F.col("row.doc_id").alias("keeper")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("keeper").alias("component_id"))
-    named = named.join(least, "component").select(F.col("node").alias("of"), "component_id")
-    out = sets.join(named, F.col("node") == F.col("of"), "left")
+    named = named.join(least, "component").select(F.col("node").alias("of"), "component", "component_id")
+    out = rows.select("doc_id", "key", "node", "n").join(named, F.col("node") == F.col("of"), "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "node")
+    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), component.alias("component_id"), "node", "component")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, node) of every document."""
+    return jaccard_rows(docs, id_col, text_col, k, percent).drop("key", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component, that of the least id; documents without words stay."""
-    keep = jaccard_components(docs, id_col, text_col, k, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("kept_id__")).distinct()
-    return docs.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("kept_id__")), "left_semi")
+    """``docs`` with one row of each component: that of the least id, null last, then of the least digest of its text.
+
+    Of rows with that id and that text one stays, any (the first that is met, should other columns differ). Rows
+    without words are no group, so each of them stays.
+    """
+    rows = jaccard_rows(docs, id_col, text_col, k, percent).filter("node IS NOT NULL")
+    own = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    # One row for each component, and how often it is repeated. Its node, too, for the count: map-side sums.
+    repeated = rows.groupBy("doc_id", "key", "component").agg(F.count("*").alias("copies"))
+    best = repeated.groupBy("component").agg(F.min_by(F.struct("doc_id", "key", "copies"), own).alias("kept"))
+    kept = best.select(F.col("kept.doc_id").alias("kept_id__"), F.col("kept.key").alias("kept_key__"), F.col("kept.copies").alias("copies__")).checkpoint()
+    key = F.xxhash64(F.col(text_col).cast("binary"))
+    on = F.col(id_col).cast("long").eqNullSafe(F.col("kept_id__")) & (key == F.col("kept_key__"))
+    has_words = F.coalesce(F.col(text_col).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    once = docs.filter(has_words).join(kept.filter("copies__ = 1"), on, "left_semi")
+    several = docs.filter(has_words).join(kept.filter("copies__ > 1"), on)
+    firsts = several.groupBy("kept_id__", "kept_key__").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row__"))
+    return once.unionByName(firsts.select("row__.*")).unionByName(docs.filter(~has_words))

@@ -84,18 +84,10 @@ def queries() -> dict:
     return {f.__name__: f for f in own}
 
 
-LINES_SQL = """
-WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-starts AS (SELECT doc_id, unnest(range(1, len(lines) - 1)) AS p, lines FROM cut WHERE len(lines) >= 3),
-windows AS (SELECT doc_id, p, row_number() OVER (PARTITION BY lines[p], lines[p + 1], lines[p + 2] ORDER BY doc_id, p) AS k FROM starts),
-gone AS (SELECT DISTINCT doc_id, unnest([p, p + 1, p + 2]) AS p FROM windows WHERE k > 1),
-listed AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
-kept AS (SELECT c.doc_id, c.lines, list_filter(range(1, len(c.lines) + 1), lambda i: NOT list_contains(coalesce(l.ps, []), i)) AS ks FROM cut c LEFT JOIN listed l ON c.doc_id = l.doc_id)
-SELECT doc_id, len(lines) AS n_lines, len(lines) - len(ks) AS n_removed, sha256(array_to_string(list_transform(ks, lambda i: lines[i]), chr(10))) AS kept_sha256 FROM kept
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    from psephon.llm import urls
+    from psephon.llm import oracles, urls
 
-    return {"op3_line_dedup": LINES_SQL, "op7_url_filters": urls.oracle()}
+    return {
+        "op1_ngram_jaccard": oracles.JACCARD, "op2_suffix_array_dedup": oracles.BYTES, "op3_line_dedup": oracles.LINES,
+        "op5_substring_dedup": oracles.SUBSTRINGS, "op7_url_filters": urls.oracle(),
+    }

@@ -1,6 +1,7 @@
 """Dedup operators against brute force, on awkward rows."""
 
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -153,10 +154,60 @@ def test_jaccard_without_broadcast(docs, rows, monkeypatch):
     assert collected(jaccard.jaccard_components(docs), "doc_id", "n_shingles", "component_id") == sorted(brute_components(rows), key=str)
 
 
+def brute_groups(rows):
+    """Rows by component: the rows themselves, not their ids."""
+    alone = [(k, t) for k, (_, t) in enumerate(rows)]
+    return [c for _, _, c in brute_components(alone)]
+
+
+def kept_of(rows):
+    """One row of each group, by (id, null last): the others of its texts do not matter here, but how many rows there are."""
+    groups = defaultdict(list)
+    for (i, t), c in zip(rows, brute_groups(rows), strict=True):
+        groups[c if (t or "").split() else object()].append(i)
+    return Counter(min(ids, key=lambda i: BIG if i is None else i) for ids in groups.values())
+
+
 def test_keep_one(docs, rows):
-    kept = sorted((r.doc_id for r in jaccard.keep_one(docs).collect()), key=str)
-    want = [i for i, _, c in brute_components(rows) if i == c or i is None]
-    assert sorted(set(map(str, kept))) == sorted(set(map(str, want)))
+    got = jaccard.keep_one(docs)
+    assert got.columns == docs.columns and got.dtypes == docs.dtypes
+    assert Counter(r.doc_id for r in got.collect()) == kept_of(rows)
+
+
+def test_keep_one_by_rows(spark):
+    """Repeated rows, one id with several texts, null ids: one row of each group stays."""
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(4, a), (4, a), (7, a), (4, b), (3, b), (None, a), (None, b + " x"), (None, b + " x"), (None, "other words that are in no other text"), (8, ""), (8, ""), (None, None)]
+    got = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert Counter(map(tuple, got.collect())) == Counter([(4, a), (3, b), (None, b + " x"), (None, "other words that are in no other text"), (8, ""), (8, ""), (None, None)])
+    assert Counter(i for i, _ in map(tuple, got.collect())) == kept_of(rows)
+
+
+def test_jaccard_many_null_ids(spark):
+    """Near copies without ids, and exact ones, are no hot key."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(None, " ".join([*base, f"n{k % 4000}"])) for k in range(5000)] + [(5, " ".join(base))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    began = time.perf_counter()
+    got = jaccard.jaccard_components(df).groupBy("component_id").count().collect()
+    assert [tuple(r) for r in got] == [(5, 5001)]
+    assert time.perf_counter() - began < 120
+
+
+def test_prefix_filters_lose_nothing():
+    """Sets that link pass the second and third orders, also where 16-bit values collide."""
+    r = np.random.default_rng(1)
+    rank = r.integers(0, 3, jaccard.COUNTERS).astype(np.uint8)
+    for n in (1, 2, 3, 5, 9, 40, 300, 30_000):
+        for _ in range(30):
+            base = np.unique(r.integers(0, 1 << 63, n, np.uint64))
+            out = int(r.integers(0, 1 + n // 5))
+            other = np.unique(np.append(base[out:], r.integers(0, 1 << 63, int(r.integers(0, 1 + n // 8)), np.uint64)))
+            both = len(np.intersect1d(base, other))
+            if 100 * both >= 80 * (len(base) + len(other) - both):
+                for order in (1, 2):
+                    p, q = (jaccard.near(s, rank, order, 80).tobytes() for s in (base, other))
+                    assert jaccard.may_link(p, q, len(base), len(other), 80)
 
 
 def test_components(spark):
