@@ -68,36 +68,76 @@ def test_matches(spark, docs, empty, monkeypatch):
     assert decontaminate.matches(docs, bench.limit(0)).count() == 0 and decontaminate.clean(docs, bench.limit(0)).count() == docs.count()
 
 
-def test_lm(docs, rows, empty):
-    prior, c, pairs = 500.0, Counter(), Counter()
-    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+def brute_lm(rows, held, priors=(500.0, 500.0), least=3):
+    c, pairs, triples = Counter(), Counter(), Counter()
     split = [(i, [b"\t", *WORD.findall((t or "").encode().lower()), b"\n"]) for i, t in rows]
     for i, w in split:
-        if not out(i):
+        if not held(i):
             c.update(w)
             pairs.update(zip(w, w[1:], strict=False))
-    begun = c[b"\t"]
-    n, v = sum(c.values()) - begun, len(c) - 1
-    want = []
+            triples.update(zip(w, w[1:], w[2:], strict=False))
+    n, v, out = sum(c.values()) - c[b"\t"], len(c) - (b"\t" in c), []
     for i, w in split:
-        base = sum(math.log10((c[x] + 1) / (n + 1 * (v + 1))) for x in w[1:])
-        full = 0.0
-        for h, x in zip(w, w[1:], strict=False):
-            root = (c[x] + 1) / (n + v + 1)
-            full += math.log10((pairs[h, x] + prior * root) / (c[h] + prior))
-        want.append((i, out(i), len(w) - 1, sum(c[x] > 0 for x in w[1:]), n, round(base, 6), round(full, 6)))
-    got = [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm.score(docs).collect()]
-    assert sorted(got, key=str) == sorted(want, key=str)
+        base, full = 0.0, 0.0
+        for k in range(1, len(w)):
+            root = (c[w[k]] + 1) / (n + v + 1)
+            base += math.log10((c[w[k]] + 1) / (n + 1 * (v + 1)))
+            p = (pairs[w[k - 1], w[k]] + priors[0] * root) / (c[w[k - 1]] + priors[0])
+            if k > 1 and pairs[w[k - 2], w[k - 1]] >= max(least, n / 100_000):
+                p = (triples[w[k - 2], w[k - 1], w[k]] + priors[1] * p) / (pairs[w[k - 2], w[k - 1]] + priors[1])
+            full += math.log10(p)
+        out.append((i, held(i), len(w) - 1, sum(c[x] > 0 for x in w[1:]), n, round(base, 6), round(full, 6)))
+    return out
+
+
+def lm_rows(df):
+    return [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in df.collect()]
+
+
+def test_lm(spark, docs, rows, empty, monkeypatch):
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    assert sorted(lm_rows(lm.score(docs)), key=str) == sorted(brute_lm(rows, held), key=str)
     assert lm.score(empty).count() == 0
+    # Stretches of few tokens, and texts all held out.
+    monkeypatch.setattr(lm, "STRETCH", 3)
+    r = random.Random(8)
+    many = [(i, prose(r, r.randint(0, 40))) for i in range(300)]
+    df = spark.createDataFrame(many, "doc_id long, text string").repartition(3)
+    assert sorted(lm_rows(lm.score(df)), key=str) == sorted(brute_lm(many, held), key=str)
+    alone = [(i, t) for i, t in many if held(i)]
+    assert sorted(lm_rows(lm.score(df.filter(df.doc_id.isin([i for i, _ in alone])))), key=str) == sorted(brute_lm(alone, held), key=str)
+
+
+def test_lm_order_three_helps_held_out_texts(spark):
+    """Held-out texts of one source are likelier under the automaton than under the base, and under triples than without."""
+    r = random.Random(9)
+    phrases = ["the old mill by the river was closed", "small boats left the harbour before dawn", "every road in the valley was covered"]
+    rows = [(i, " ".join(r.choice(phrases) for _ in range(12))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    base, full, pairs_only = (df_.filter("held_out").agg({c: "avg"}).first()[0] for df_, c in ((lm.score(df), "base_score"), (lm.score(df), "score"), (lm.score(df, share=1), "score")))
+    assert base < pairs_only < full
 
 
 def test_lm_is_a_distribution():
     """What leaves a state sums to one, over known tokens and one unknown."""
-    c, pairs, prior = {"a": 3, "b": 2, "e": 1}, {("a", "b"): 2, ("a", "a"): 1}, 5.0
-    n, v = 6, 3
-    root = {w: (k + 1) / (n + v + 1) for w, k in c.items()} | {"?": 1 / (n + v + 1)}
-    total = sum((pairs.get(("a", w), 0) + prior * p) / (c["a"] + prior) for w, p in root.items())
-    assert total == pytest.approx(1) and sum(root.values()) == pytest.approx(1)
+    import pyarrow as pa
+
+    texts = ["a b a b a b c", "a b c d", "b a b", "a b c a b c a b d"]
+    t = lm.Tokens(pa.table([pa.array(range(4), pa.int64()), pa.array([x.encode() for x in texts], pa.binary()), pa.array([False] * 4)], names=["doc_id", "body", "held_out"]))
+    triples = lm.Triples(t, t.own, 3)
+    known = {w: i for i, w in zip(t.token_of.tolist(), t.tokens.tolist(), strict=True)}
+    begin = t.token_of[t.stop - t.sizes][0]
+    n, v = len(t.read), len(known) - 1
+    model = lm.Automaton(t, t.own, triples, triples.own, n, v, (5.0, 2.0))
+    tokens = np.array([i for i in known.values() if i != begin])
+    pairs = np.unique(t.pair_of[t.pair_of >= 0])
+    end = t.token_of[t.stop - 1][0]  # nothing follows an end
+    kept = [model.width + p for p in pairs if triples.is_state[p] and model.shorter[p] != end]
+    assert kept
+    for state in [*tokens[tokens != end].tolist(), begin, *kept]:
+        weight, _ = model.step(np.full(len(tokens), state), tokens)
+        fallen = model.fail[state] if state < model.width else model.fail[state] + model.fail[model.shorter[state - model.width]]
+        assert (10**weight).sum() + 10 ** (fallen + math.log10(1 / (n + v + 1))) == pytest.approx(1)
 
 
 def prose(r, n):
