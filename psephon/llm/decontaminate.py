@@ -9,8 +9,10 @@ stretches and gives the least edit distance of the item to any substring there.
 Case and the kind and amount of white space do not count: both sides are lower-cased, and white space becomes
 one space. Items are sent to the workers in blocks of bounded size, each block against all documents.
 
-Defined results. Null or empty texts and items match nothing, nor does an item of fewer than ``least``
-characters. Null ids are reported as they are. Repeated items: each is reported. Repeated documents: each row is
+An item of fewer than ``least`` characters has no room for errors: it has to occur unchanged, and as words of its own
+(no letter or digit beside it, but in scripts without spaces).
+
+Defined results. Null or empty texts and items match nothing. Null ids are reported as they are. Repeated items: each is reported. Repeated documents: each row is
 judged. Empty tables give empty results. Very long texts are read whole. Other columns are ignored by ``matches``
 and kept as they are by ``clean``.
 """
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 
 from psephon.llm.exchange import slices
 
-#: Characters of items that go to the workers at once.
-BLOCK_CHARS = 16_000_000
+#: Characters of items that go to the workers at once. Their automaton takes some tens of bytes for each.
+BLOCK_CHARS = 2_000_000
+#: From here on scripts are mostly written without spaces.
+UNSPACED = "\u2e80"
 
 
 def plain(text: str | None) -> str:
@@ -68,6 +72,12 @@ class Pattern:
         return least
 
 
+def apart(text: str, start: int, end: int) -> bool:
+    """Whether ``text[start:end]`` is no part of a longer word."""
+    seams = [text[k - 1 : k + 1] for k in (start, end) if 0 < k < len(text)]
+    return not any(a.isalnum() and b.isalnum() and a < UNSPACED and b < UNSPACED for a, b in seams)
+
+
 class Matcher:
     """A block of items, ready to be looked for."""
 
@@ -75,10 +85,10 @@ class Matcher:
         self.items, where = [], {}
         for item_id, text in items:
             text = plain(text)
-            if len(text) < least:
+            if not text:
                 continue
-            errors = len(text) // per_error
-            for at, piece in pieces(text, errors):
+            errors = len(text) // per_error if len(text) >= least else -1
+            for at, piece in pieces(text, max(errors, 0)):
                 where.setdefault(piece, []).append((len(self.items), at))
             self.items.append((item_id, errors, Pattern(text)))
         self.automaton = ahocorasick.Automaton()
@@ -98,6 +108,10 @@ class Matcher:
         out = []
         for item, starts in sorted(spots.items()):
             item_id, errors, pattern = self.items[item]
+            if errors < 0:
+                if any(apart(text, start, start + pattern.size) for start in starts):
+                    out.append((item_id, 0))
+                continue
             found, a, b = errors + 1, None, None
             for start in sorted(starts):
                 low, high = max(0, start - errors), start + pattern.size + errors
