@@ -3,7 +3,7 @@
 Most operators here ask one question about many small keys (word windows, byte windows, n-grams): what
 does the rest of the corpus hold under this key? A row for each key would cost far more than the key, so
 
-* documents are dealt into *batches* by a hash of their id (a batch holds a megabyte or two);
+* documents are dealt into *batches* by a hash of id and text (a batch holds a megabyte or two);
 * a batch reduces its own keys first (a key that occurs a thousand times in a batch is sent once), cuts
   the sorted keys into *buckets* by their leading bits, and sends one packed row for each bucket;
 * a bucket sees every batch's share of its keys, so it can count or compare them, and replies to each batch
@@ -63,9 +63,12 @@ def shared_dir(spark: SparkSession) -> None:
 
 
 def batched(docs: DataFrame, n: int, id_col: str, text_col: str, *extra: Column) -> DataFrame:
-    """(batch, doc_id, body, extra...): whole texts as UTF-8 bytes; other columns of ``docs`` are left behind."""
-    key = F.col(id_col).cast("long")
-    return docs.select(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("batch"), key.alias("doc_id"), F.col(text_col).cast("binary").alias("body"), *extra)
+    """(batch, doc_id, body, extra...): whole texts as UTF-8 bytes; other columns of ``docs`` are left behind.
+
+    Rows without an id, or with one id and different texts, go to different batches.
+    """
+    key, body = F.col(id_col).cast("long"), F.col(text_col).cast("binary")
+    return docs.select(F.pmod(F.xxhash64(key, body), F.lit(n)).cast("int").alias("batch"), key.alias("doc_id"), body.alias("body"), *extra)
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -3,11 +3,11 @@
 Every ``span`` consecutive lines of a document are hashed. A window that also begins at an earlier place of the
 corpus (a smaller id, or further up in the same document) is a later occurrence: its lines are covered, and the
 covered positions of a document, merged, are removed. Windows are judged on the input. First places are found
-by one packed exchange: a batch sends each window once, with its least id, and learns whether another batch has
-it earlier.
+by one packed exchange: a batch sends each window once, with its least id (and that text's digest), and learns whether
+another batch has it earlier.
 
 Defined results. Null text: one empty line, as an empty text has. Fewer lines than a window: kept whole. Null
-id: after all others. Repeated ids: rows with one id are taken in order of their text, and the later loses.
+id: after all others. Repeated ids: rows with one id are taken in order of a digest of their text, and the later loses.
 An empty table gives an empty result. Other columns do not matter. Windows are compared by 64-bit hashes.
 """
 
@@ -26,7 +26,10 @@ from psephon.llm import exchange as x
 
 class LineWindows:
     def __init__(self, table: pa.Table, span: int):
-        _, self.ids, bodies, self.order = x.ordered(table)
+        _, ids, bodies, order = x.ordered(table)
+        digests = x.hashes(bodies)
+        by = np.lexsort((digests, ids))
+        self.order, bodies, self.ids, self.digests = [order[k] for k in by.tolist()], [bodies[k] for k in by.tolist()], ids[by], digests[by]
         split = [body.split(b"\n") for body in bodies]
         self.lines = [line for own in split for line in own]
         self.counts = np.array([len(own) for own in split], np.int64)
@@ -35,7 +38,8 @@ class LineWindows:
         n = max(0, len(h) - span + 1)
         self.starts = np.flatnonzero(doc[:n] == doc[span - 1 : span - 1 + n])
         self.keys, first, self.key_of = np.unique(x.runs_of(h, span)[self.starts] if n else np.empty(0, np.uint64), return_index=True, return_inverse=True)
-        self.least = self.ids[doc[self.starts[first]]] if len(self.keys) else np.empty(0, np.int64)
+        least = doc[self.starts[first]] if len(self.keys) else np.empty(0, np.int64)
+        self.least, self.least_digest = self.ids[least], self.digests[least]
         self.repeat = np.arange(len(self.starts)) != first[self.key_of] if len(self.keys) else np.empty(0, bool)
 
 
@@ -57,14 +61,14 @@ def _run(docs: DataFrame, id_col: str, text_col: str, span: int, columns: list[s
 
     def send(key, table):
         w = LineWindows(table, span)
-        return x.packed_table(x.deal(key[0].as_py(), m, w.keys, w.least))
+        return x.packed_table(x.deal(key[0].as_py(), m, w.keys, w.least, w.least_digest))
 
     def resolve(key, table):
-        rows, sizes, (keys, least) = x.unpack(table, np.uint64, np.int64)
-        found, inverse = np.unique(keys, return_inverse=True)
-        first = np.full(len(found), x.NO_ID)
-        np.minimum.at(first, inverse, least)
-        return x.packed_table(x.reply_rows(rows, sizes, key[0].as_py(), first[inverse] < least))
+        rows, sizes, (keys, least, digest) = x.unpack(table, np.uint64, np.int64, np.uint64)
+        order = np.lexsort((digest, least, keys))
+        earlier = np.empty(len(keys), bool)  # all but the first of each key; one text is in one batch
+        earlier[order] = np.append(False, keys[order][1:] == keys[order][:-1])[: len(keys)]
+        return x.packed_table(x.reply_rows(rows, sizes, key[0].as_py(), earlier))
 
     def cut(key, table, replies):
         w = LineWindows(table, span)
