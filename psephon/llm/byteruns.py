@@ -255,7 +255,7 @@ class Shard:
     def sort(self) -> None:
         """Marks all starts of strings that repeat."""
         for part in self.parts():
-            found = repeated_starts([bytes(self.content(*item[:3])) for item in part], self.length)
+            found = repeated_starts([self.content(*item[:3]) for item in part], self.length)
             for (context, first, count, equal), hit in zip(part, found, strict=True):
                 for c, f in [(context, first), *equal]:
                     at = int(self.hit_at[c]) + f
@@ -270,21 +270,27 @@ class Shard:
                 yield int(self.batch[i]), np.packbits(np.concatenate(bits)).tobytes()
 
 
-def repeated_starts(contexts: list[bytes], length: int) -> list[np.ndarray]:
-    """For each context, which of its starts begin a string that begins in another place of the shard too."""
+def repeated_starts(contexts: list, length: int, memory: int | None = None) -> list[np.ndarray]:
+    """For each context (bytes), which of its starts begin a string that begins in another place of the shard too."""
     if len(contexts) < 2:
         return [np.zeros(len(c) - length + 1, bool) for c in contexts]
-    data = np.frombuffer(b"".join(contexts), np.uint8).astype(np.int64) + 2
+    memory = memory or suffixes.MEMORY
     sizes = np.array([len(c) for c in contexts], np.int64)
-    ends = np.cumsum(sizes)
-    text = np.insert(data, ends, 1)  # symbol 1 parts contexts, symbol 0 ends the text
-    order, prefix = suffixes.sort(np.append(text, 0), True, length)
-    hit = np.zeros(len(text) + 1, bool)
-    far = prefix >= length
-    hit[order[far]] = True
-    hit[order[np.flatnonzero(far) - 1]] = True
-    begins = ends - sizes + np.arange(len(sizes))
-    return [hit[b : b + s - length + 1] for b, s in zip(begins.tolist(), sizes.tolist(), strict=True)]
+    begins = np.cumsum(sizes + 1) - sizes - 1
+    text = suffixes.room(int(sizes.sum()) + len(sizes) + 1, np.int32, memory)
+    for c, b in zip(contexts, begins.tolist(), strict=True):
+        text[b : b + len(c)] = np.frombuffer(c, np.uint8)
+        text[b : b + len(c)] += 2
+        text[b + len(c)] = 1  # symbol 1 parts contexts, symbol 0 ends the text
+    text[-1] = 0
+    order, prefix = suffixes.sort(text, True, length, memory)
+    hit = suffixes.room(len(text), bool, memory)
+    hit[:] = False
+    for a, b in suffixes.chunks(len(order) - 1, memory):
+        far = prefix[a + 1 : b + 1] >= length
+        hit[order[a + 1 : b + 1][far]] = True
+        hit[order[a:b][far]] = True
+    return [np.asarray(hit[b : b + s - length + 1]) for b, s in zip(begins.tolist(), sizes.tolist(), strict=True)]
 
 
 def byte_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
@@ -380,6 +386,7 @@ def byte_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     said = batches.groupBy("batch").applyInArrow(send, x.KEYS).groupBy("bucket").applyInArrow(compare, x.KEYS)
     contexts = batches.groupBy("batch").cogroup(said.groupBy("batch")).applyInArrow(send_contexts, x.KEYS)
-    shards = contexts.groupBy("bucket").applyInArrow(sort_shard, x.KEYS)
+    # Contexts are few bytes and much work: partitions as they are, not put together by size.
+    shards = contexts.repartition(m, "bucket").groupBy("bucket").applyInArrow(sort_shard, x.KEYS)
     replies = said.withColumn("second", F.lit(False)).unionByName(shards.withColumn("second", F.lit(True)))
     return batches.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")

@@ -21,6 +21,7 @@ def test_sort(seed, monkeypatch):
     """Random, periodic and run-heavy texts; small blocks and a queue that spills."""
     r = np.random.default_rng(seed)
     monkeypatch.setattr(suffixes, "BLOCK", 256)
+    monkeypatch.setattr(suffixes, "BASE", 10 if seed % 2 else 1 << 18)
     text = r.integers(1, r.integers(2, 9), r.integers(0, 400))
     if seed % 3 == 0:
         text = np.tile(text[:7], int(r.integers(1, 40)))
@@ -47,3 +48,21 @@ def test_queue_spills_and_keeps_order():
 def test_empty():
     order, shared = suffixes.sort(np.array([0]))
     assert order.tolist() == [0] and shared.tolist() == [0]
+
+
+def test_texts_beyond_memory(monkeypatch):
+    """A text many times larger than the memory: arrays and queues are in scratch files, and the order is the same."""
+    r = np.random.default_rng(2)
+    piece = r.integers(2, 60, 3000)
+    text = np.concatenate([piece, r.integers(2, 60, 9000), piece[500:2500], np.full(300, 7), piece, [0]]).astype(np.int32)
+    monkeypatch.setattr(suffixes, "BASE", 50)
+    files, plain = [], suffixes.room
+    monkeypatch.setattr(suffixes, "room", lambda n, dtype, memory: files.append(isinstance(got := plain(n, dtype, memory), np.memmap)) or got)
+    order, shared = suffixes.sort(text, True, 200, memory=20_000)
+    assert sum(files) > 20
+    want_order, want = naive(text.tolist()) if len(text) < 1000 else (sorted(range(len(text)), key=lambda i: text[i:].astype(">u2").tobytes()), None)
+    assert order.tolist() == want_order
+    for a, b, k in list(zip(want_order, want_order[1:], shared[1:].tolist(), strict=False))[::7]:
+        size = min(len(text) - max(a, b), 200)
+        differ = np.flatnonzero(text[a : a + size] != text[b : b + size])
+        assert min(k, 200) == (differ[0] if len(differ) else size)
