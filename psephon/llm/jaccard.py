@@ -396,14 +396,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     """
     rows = jaccard_rows(docs, id_col, text_col, k, percent).filter("node IS NOT NULL")
     own = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
-    # One row for each component, and how often it is repeated. Its node, too, for the count: map-side sums.
-    repeated = rows.groupBy("doc_id", "key", "component").agg(F.count("*").alias("copies"))
-    best = repeated.groupBy("component").agg(F.min_by(F.struct("doc_id", "key", "copies"), own).alias("kept"))
-    kept = best.select(F.col("kept.doc_id").alias("kept_id__"), F.col("kept.key").alias("kept_key__"), F.col("kept.copies").alias("copies__")).checkpoint()
-    key = F.xxhash64(F.col(text_col).cast("binary"))
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("kept_id__")) & (key == F.col("kept_key__"))
-    has_words = F.coalesce(F.col(text_col).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    once = docs.filter(has_words).join(kept.filter("copies__ = 1"), on, "left_semi")
-    several = docs.filter(has_words).join(kept.filter("copies__ > 1"), on)
-    firsts = several.groupBy("kept_id__", "kept_key__").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row__"))
-    return once.unionByName(firsts.select("row__.*")).unionByName(docs.filter(~has_words))
+    # A row for each text of an id, with the number of its copies: map-side sums. Texts are joined to what goes, not to what stays.
+    distinct = rows.groupBy("doc_id", "key", "component").agg(F.count("*").alias("copies"))
+    best = distinct.groupBy("component").agg(F.min(own).alias("best"))
+    judged = distinct.join(best, "component").withColumn("stays", (F.col("best") == own)).filter("copies > 1 OR NOT stays")
+    judged = judged.select(F.col("doc_id").alias("gone_id__"), F.col("key").alias("gone_key__"), "stays").checkpoint()
+    if judged.count() <= BROADCAST_ROWS:  # else shuffle joins
+        judged = F.broadcast(judged)
+    body = F.col(text_col).cast("binary")
+    on = F.col(id_col).cast("long").eqNullSafe(F.col("gone_id__")) & (F.xxhash64(body) == F.col("gone_key__"))
+    # Rows without words are no nodes, and so never judged.
+    several = docs.join(judged.filter("stays").drop("stays"), on)
+    firsts = several.groupBy("gone_id__", "gone_key__").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row__"))
+    return docs.join(judged, on, "left_anti").unionByName(firsts.select("row__.*"))

@@ -5,6 +5,7 @@ import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import xxhash
 
 from psephon.llm import byteruns, components, exchange, jaccard, lines, substrings
 
@@ -83,6 +84,17 @@ def test_hot_seed_is_sorted_in_bounded_parts(monkeypatch):
     assert batch == 3 and np.unpackbits(np.frombuffer(bits, np.uint8), count=len(want)).astype(bool).tolist() == want
 
 
+def test_bytes_beyond_memory(docs, rows, monkeypatch):
+    """The whole operator with a sort that may hold a few kilobytes: shards are sorted in scratch files."""
+    rng = np.random.default_rng(9)
+    passage = "".join(chr(97 + k) for k in rng.integers(0, 26, 600))
+    texts = [f"{'x' * (i % 7)}{passage[: 400 + i % 200]} {i} {passage[i % 150 :]}".encode() for i in range(40)]
+    seen = Counter(t[a : a + 200] for t in texts for a in range(len(t) - 199))
+    want = [[seen[t[a : a + 200]] > 1 for a in range(len(t) - 199)] for t in texts]
+    monkeypatch.setattr(byteruns.suffixes, "BASE", 100)
+    assert [h.tolist() for h in byteruns.repeated_starts(texts, 200, 30_000)] == want
+
+
 def test_seeds_are_dealt_evenly():
     body = np.random.default_rng(3).integers(0, 256, 200_000, np.uint8).tobytes()
     seeds = np.sort(byteruns.runs_in(body, 200)[2])
@@ -91,7 +103,7 @@ def test_seeds_are_dealt_evenly():
 
 
 def brute_lines(rows):
-    order = sorted(range(len(rows)), key=lambda k: (BIG if rows[k][0] is None else rows[k][0], (rows[k][1] or "").encode()))
+    order = sorted(range(len(rows)), key=lambda k: (BIG if rows[k][0] is None else rows[k][0], xxhash.xxh3_64_intdigest((rows[k][1] or "").encode())))
     seen, out = set(), [None] * len(rows)
     for k in order:
         own = (rows[k][1] or "").encode().split(b"\n")
