@@ -44,7 +44,7 @@ ARCS, MEMO_BYTES = 400_000, 12_000_000
 #: Pretokens of more bytes pass alone; bytes of such a one between two looks for settled tokens.
 LONG, LOOK = 512, 4096
 #: Texts that pass through a worker together, in bytes.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_500_000
 NEVER = 1 << 40
 
 
