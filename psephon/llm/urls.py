@@ -8,14 +8,16 @@ with a digit become ``*``; then, level by level down to the deepest, the segment
 different rests of paths after them. Rows, repeated urls and other query strings do not count, nor do sub-pages that
 segments have in common. (Segments with different rests of their own, like sections with articles, stay.) The
 DuckDB counterpart compares with pages and ends at level ``DEPTH``: on tables whose variable segments have digits,
-like the given ones, both are the same. Templates of a host whose share
-of blocked pages is statistically like the host's (too few labels, or a chi-square below ``chi``) are merged into
-one branch; the others stay branches of their own. A branch's purity, the share of blocked pages among its
-labelled ones, is smoothed towards the same template's share over all hosts, and that towards the share of all
-labelled pages. Purity of a half or more rejects the template.
+like the given ones, both are the same. Branches are then merged from the deepest level up: of the branches below
+one prefix, those whose share of blocked pages is statistically like that of all of them together (too few labels, or
+a chi-square below ``chi``) become one branch, the prefix's, which is judged among its own neighbours one level up; the
+others stay branches of their own. A branch's purity, the share of blocked pages among its labelled ones, is smoothed
+towards the same template's share over all hosts, and that towards the share of all labelled pages. Purity of a half or
+more rejects the template.
 
 Everything is an aggregate over (host, template): a host with a third of all pages is counted in parts before
-anything is shuffled, and verdicts go back to pages by a join salted by page.
+anything is shuffled. Verdicts go back to pages by a join; the paths that hold one in ``HOT`` pages or more, so ``HOT``
+paths at most, are dealt by page as well.
 
 Defined results. A null url or one without ``://`` has an empty host and path; no rule fits it, and it is judged as
 a host of its own. Null and repeated ids: each row is judged. An empty table gives an empty result; without any
@@ -32,8 +34,10 @@ from pyspark.sql import functions as F
 from psephon.llm import exchange as x
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Levels of a path that the DuckDB counterpart generalises by their variety; copies of the verdicts for the join.
-DEPTH, SALT = 4, 8
+#: Levels of a path that the DuckDB counterpart generalises by their variety, and that it merges.
+DEPTH, LEVELS = 4, 10
+#: Paths that hold one in so many pages are dealt out; into how many parts.
+HOT, SALT = 256, 64
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -62,7 +66,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "pa
     own = own.withColumn("rule", name).withColumn("ruled", verdict).withColumn("raw", raw)
 
     # One row for each host and raw template; raw templates then turn into templates level by level.
-    counted = own.groupBy("host", "raw").agg(F.count_if(F.col("ruled") == "block").alias("b"), F.count_if(F.col("ruled") == "allow").alias("a"))
+    counted = own.groupBy("host", "raw").agg(F.count_if(F.col("ruled") == "block").alias("b"), F.count_if(F.col("ruled") == "allow").alias("a"), F.count("*").alias("n"))
     # (Checkpoints: each of these small tables is used several times, and plans would double at every level.)
     x.shared_dir(pages.sparkSession)
     counted = counted.withColumn("segments", F.split("raw", "/")).withColumn("template", F.lit("")).checkpoint()
@@ -81,14 +85,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "pa
     deeper = F.slice("segments", level + 2, 1_000_000)
     counted = counted.withColumn("template", F.when(F.size(deeper) > 0, F.concat_ws("/", F.col("template"), F.array_join(deeper, "/"))).otherwise(F.col("template")))
 
-    leaves = counted.groupBy("host", "template").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
-    hosts = leaves.groupBy("host").agg(F.sum("b").alias("host_b"), F.sum("a").alias("host_a"))
-    leaves = leaves.join(hosts, "host")
-    m, all_ = F.col("a") + F.col("b"), F.col("host_a") + F.col("host_b")
-    expected = F.try_divide(m * F.col("host_b"), all_.cast("double"))
-    variance = F.try_divide(expected * F.col("host_a"), all_.cast("double"))
-    own_branch = (m >= least) & (variance > 0) & ((F.col("b") - expected) * (F.col("b") - expected) >= variance * chi)
-    leaves = leaves.withColumn("branch", F.when(F.coalesce(own_branch, F.lit(False)), F.col("template")).otherwise("(merged)")).checkpoint()
+    leaves = counted.groupBy("host", "template").agg(F.sum("b").alias("b"), F.sum("a").alias("a")).withColumn("branch", F.col("template")).checkpoint()
+    deepest = leaves.agg(F.max(depth_of("branch"))).first()[0] or 0
+    for level in range(deepest, 0, -1):
+        leaves = merged_level(leaves, level, chi, least).checkpoint()
     branches = leaves.groupBy("host", "branch").agg(F.sum("b").alias("branch_b"), F.sum("a").alias("branch_a"))
     shapes = leaves.groupBy("template").agg(F.sum("b").alias("shape_b"), F.sum("a").alias("shape_a"))
     total = leaves.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("total_b"), F.coalesce(F.sum("a"), F.lit(0)).alias("total_a"))
@@ -99,12 +99,34 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "pa
     verdicts = leaves.select("host", "template", F.when(purity >= 0.5, "block").otherwise("allow").alias("judged"))
 
     verdicts = counted.select("host", "raw", "template").join(verdicts, ["host", "template"])
-    verdicts = verdicts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))).withColumnRenamed("host", "h").withColumnRenamed("raw", "r")
-    salted = own.withColumn("s", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALT)).cast("int"))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    hot = counted.filter(F.col("n") * HOT >= total).select(F.col("host").alias("h"), F.col("raw").alias("r"), F.lit(True).alias("hot"))
+    on = (F.col("host") == F.col("h")) & (F.col("raw") == F.col("r"))
+    salted = own.join(F.broadcast(hot), on, "left")  # HOT rows at most
+    salted = salted.withColumn("s", F.when(F.col("hot"), F.pmod(F.xxhash64("page_id", "path"), F.lit(SALT)).cast("int")).otherwise(0)).drop("h", "r", "hot")
+    verdicts = verdicts.join(F.broadcast(hot), on, "left").select(F.col("host").alias("h"), F.col("raw").alias("r"), "template", "judged", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
     on = reduce(Column.__and__, [F.col("host") == F.col("h"), F.col("raw") == F.col("r"), F.col("s") == F.col("salt")])
     return salted.join(verdicts, on).select("page_id", "host", "path", "rule", F.coalesce("ruled", "judged").alias("verdict"), "template")
 
 
+def depth_of(column: str) -> Column:
+    return F.size(F.split(column, "/")) - 1
+
+
+def merged_level(leaves: DataFrame, level: int, chi: float, least: int) -> DataFrame:
+    """Leaves with those branches of one level that are like their neighbours moved to the prefix above."""
+    branches = leaves.groupBy("host", "branch").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
+    here = branches.filter(depth_of("branch") == level).withColumn("parent", F.regexp_replace("branch", "/[^/]*$", ""))
+    parents = branches.filter(depth_of("branch") == level - 1).select("host", F.col("branch").alias("parent"), "b", "a")
+    pool = here.select("host", "parent", "b", "a").unionByName(parents).groupBy("host", "parent").agg(F.sum("b").alias("all_b"), F.sum("a").alias("all_a"))
+    m, labelled = F.col("a") + F.col("b"), (F.col("all_a") + F.col("all_b")).cast("double")
+    expected = F.try_divide(m * F.col("all_b"), labelled)
+    variance = F.try_divide(expected * F.col("all_a"), labelled)
+    differs = (m >= least) & (variance > 0) & ((F.col("b") - expected) * (F.col("b") - expected) >= variance * chi)
+    moved = here.join(pool, ["host", "parent"]).filter(~F.coalesce(differs, F.lit(False))).select("host", "branch", "parent")
+    return leaves.join(moved, ["host", "branch"], "left").select("host", "template", "b", "a", F.coalesce("parent", "branch").alias("branch"))
+
+
 #: The production rules (verdict, host, begin of the path): fixed values.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -129,10 +151,18 @@ def oracle(varied: int = 8, chi: float = 3.84, least: int = 5, weight: float = 2
     parts += [
         f"ct AS (SELECT host, raw, b, a, CASE WHEN len(segments) > {DEPTH + 1} THEN template || '/' || array_to_string(segments[{DEPTH + 2}:], '/') ELSE template END AS template FROM l{DEPTH})",
         "lv AS (SELECT host, template, sum(b) AS b, sum(a) AS a FROM ct GROUP BY ALL)",
-        "lh AS (SELECT *, sum(b) OVER (PARTITION BY host) AS hb, sum(a) OVER (PARTITION BY host) AS ha FROM lv)",
-        "le AS (SELECT *, (a + b) * hb / nullif((ha + hb)::DOUBLE, 0) AS e FROM lh)",
-        f"br AS (SELECT *, CASE WHEN a + b >= {least} AND e * ha / (ha + hb)::DOUBLE > 0 AND (b - e) * (b - e) >= e * ha / (ha + hb)::DOUBLE * {chi} THEN template ELSE '(merged)' END AS branch FROM le)",
-        "sc AS (SELECT host, template, sum(b) OVER (PARTITION BY host, branch) AS bb, sum(a) OVER (PARTITION BY host, branch) AS ba, sum(b) OVER (PARTITION BY template) AS sb, sum(a) OVER (PARTITION BY template) AS sa, sum(b) OVER () AS tb, sum(a) OVER () AS ta FROM br)",
+        f"c{LEVELS} AS (SELECT host, template, b, a, template AS branch FROM lv)",
+    ]
+    for d in range(LEVELS, 0, -1):
+        parts += [
+            f"k{d} AS (SELECT host, branch, sum(b) AS b, sum(a) AS a, len(string_split(branch, '/')) - 1 AS depth, regexp_replace(branch, '/[^/]*$', '') AS parent FROM c{d} GROUP BY host, branch)",
+            f"p{d} AS (SELECT host, parent, sum(b) AS ab, sum(a) AS aa FROM (SELECT host, parent, b, a FROM k{d} WHERE depth = {d} UNION ALL SELECT host, branch AS parent, b, a FROM k{d} WHERE depth = {d - 1}) GROUP BY host, parent)",
+            f"e{d} AS (SELECT k.host, k.branch, k.parent, k.a + k.b AS m, k.b, (k.a + k.b) * ab / nullif((aa + ab)::DOUBLE, 0) AS e, aa / nullif((aa + ab)::DOUBLE, 0) AS q FROM k{d} k JOIN p{d} p ON k.host = p.host AND k.parent = p.parent WHERE k.depth = {d})",
+            f"m{d} AS (SELECT host, branch, parent FROM e{d} WHERE NOT coalesce(m >= {least} AND e * q > 0 AND (b - e) * (b - e) >= e * q * {chi}, false))",
+            f"c{d - 1} AS (SELECT c.host, c.template, c.b, c.a, coalesce(m.parent, c.branch) AS branch FROM c{d} c LEFT JOIN m{d} m ON c.host = m.host AND c.branch = m.branch)",
+        ]
+    parts += [
+        "sc AS (SELECT host, template, sum(b) OVER (PARTITION BY host, branch) AS bb, sum(a) OVER (PARTITION BY host, branch) AS ba, sum(b) OVER (PARTITION BY template) AS sb, sum(a) OVER (PARTITION BY template) AS sa, sum(b) OVER () AS tb, sum(a) OVER () AS ta FROM c0)",
         f"vd AS (SELECT host, template, CASE WHEN (bb + ((sb + (tb + 1) / (tb + ta + 2)::DOUBLE * {weight}) / (sb + sa + {weight}::DOUBLE)) * {weight}) / (bb + ba + {weight}::DOUBLE) >= 0.5 THEN 'block' ELSE 'allow' END AS judged FROM sc)",
     ]
     return "WITH " + ",\n".join(parts) + "\nSELECT o.page_id, o.host, o.path, o.rule, coalesce(o.ruled, v.judged) AS verdict, c.template FROM own o JOIN ct c ON o.host = c.host AND o.raw = c.raw JOIN vd v ON c.host = v.host AND c.template = v.template"
