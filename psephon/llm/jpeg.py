@@ -15,7 +15,7 @@ after another.
 
 Defined results. Null and empty texts: one row of padding. Every text is stored whole, however long. Equal texts
 give equal media and features. Null and repeated ids: each row on its own. Other columns are ignored. Broken
-media raise ``ValueError``.
+media have nulls and an ``error``.
 """
 
 from __future__ import annotations
@@ -241,6 +241,8 @@ def parse(media: bytes, at: int = 0) -> tuple[Image, int]:
 
 
 def images_of(media: bytes) -> list[Image]:
+    if not media:
+        raise ValueError("no start of an image")
     out, at = [], 0
     while at < len(media):
         image, at = parse(media, at)
@@ -385,20 +387,38 @@ def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+def read_each(media: list[bytes]) -> list[tuple | str]:
+    """As ``read``, with what is wrong in place of a value that cannot be read."""
+    try:
+        return read(media)
+    except (ValueError, LookupError, struct.error) as e:  # the last two: segments that are cut, tables that are missing
+        if len(media) == 1:
+            return [str(e) or type(e).__name__]
+        half = len(media) // 2
+        return read_each(media[:half]) + read_each(media[half:])
+
+
 def read_media(stored: DataFrame) -> DataFrame:
-    """Adds what the stored bytes tell: payload figures, dimensions and thumbnail hashes (null for null media)."""
+    """Adds what the stored bytes tell: payload figures, dimensions and thumbnail hashes (null for null media).
+
+    Media that are no baseline JPEG, or broken, have nulls and the reason as ``error``, which is null for others.
+    """
 
     def run(batches):
         for part in slices(batches, "media", SLICE_BYTES):
             media = part.column(part.schema.get_field_index("media")).to_pylist()
             at = [i for i, m in enumerate(media) if m is not None]
-            rows: list[tuple] = [(None,) * 6] * len(media)
-            for i, (images, blocks) in zip(at, read([media[i] for i in at]), strict=True):
-                payload = payload_of(blocks)
-                rows[i] = len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media[i]), hashlib.sha256(media[i]).hexdigest(), features(images, blocks)
-            columns = zip(*rows, strict=True) if rows else [[]] * 6
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[*part.schema.names, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
+            rows: list[tuple] = [(None,) * 7] * len(media)
+            for i, found in zip(at, read_each([media[i] for i in at]) if at else [], strict=True):
+                own = len(media[i]), hashlib.sha256(media[i]).hexdigest()
+                if isinstance(found, str):
+                    rows[i] = None, None, None, *own, None, found
+                    continue
+                payload = payload_of(found[1])
+                rows[i] = len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *own, features(*found), None
+            columns = zip(*rows, strict=True) if rows else [[]] * 7
+            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True))], names=[*part.schema.names, *kinds])
+
+    kinds = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "error": pa.string()}
     kept = ", ".join(f"`{c}` {t}" for c, t in stored.dtypes)
-    return stored.mapInArrow(run, f"{kept}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.mapInArrow(run, f"{kept}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")

@@ -93,3 +93,61 @@ def test_query(docs, rows, empty):
         want.add((i, len((t or "").encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:])))
     assert got == want
     assert jpeg.read_media(jpeg.encode_media(empty)).count() == 0
+
+
+def plain_media(payload):
+    """The stored form, written bit by bit, and its feature, pixel by pixel."""
+    dc, ac = jpeg.codes_of(*jpeg.code_table(jpeg.DC_LENGTHS)), jpeg.codes_of(*jpeg.code_table(jpeg.AC_LENGTHS))
+    rows, picture = [], []
+    for a in range(0, len(payload), 576):
+        bits, previous, pixels = "", 0, []
+        for b in range(a, a + 576, 64):
+            values = [v - 128 + (v >= 128) for v in payload[b : b + 64]]
+            pixels.append(min(max((values[0] + 4 >> 3) + 128, 0), 255))
+            bits += coded([values[0] - previous, *values[1:]], dc, ac)
+            previous = values[0]
+        bits += "1" * (-len(bits) % 8)
+        rows.append(bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0"))
+        picture.append(pixels)
+    body = b"".join((bytes((0xFF, 0xD0 + (i - 1) % 8)) if i else b"") + r for i, r in enumerate(rows))
+
+    def cell(i, n, size):
+        start = i * size // n
+        return start, max(start + 1, (i + 1) * size // n)
+
+    def cells(n, m):
+        out = []
+        for i in range(n):
+            r0, r1 = cell(i, n, len(picture))
+            row = []
+            for j in range(m):
+                c0, c1 = cell(j, m, 9)
+                values = [picture[r][c] for r in range(r0, r1) for c in range(c0, c1)]
+                row.append(sum(values) / len(values))
+            out.append(row)
+        return out
+
+    square, steps = cells(8, 8), cells(8, 9)
+    mean = sum(map(sum, square)) / 64
+    bits = ["".join("1" if v > mean else "0" for r in square for v in r), "".join("1" if b > a else "0" for r in steps for a, b in zip(r, r[1:], strict=False))]
+    return jpeg.head(len(rows)) + body + b"\xff\xd9", f"72x{8 * len(rows)}:" + ":".join(format(int(b, 2), "016x") for b in bits)
+
+
+def test_stored_form_and_feature(docs, rows):
+    got = {(r.doc_id, r.media_bytes, r.media_sha256, r.feature, r.error) for r in jpeg.read_media(jpeg.encode_media(docs.filter("length(text) < 3000 OR text IS NULL"))).collect()}
+    want = set()
+    for i, t in rows:
+        if len(t or "") < 3000:
+            media, feature = plain_media(jpeg.padded((t or "").encode()))
+            want.add((i, len(media), hashlib.sha256(media).hexdigest(), feature, None))
+    assert got == want
+
+
+def test_broken_media_are_reported(spark):
+    good = jpeg.store([jpeg.padded(b"some text " * 100)])[0]
+    media = [good, None, b"", b"no image", good[:300], good]
+    df = spark.createDataFrame([(i, bytearray(m) if m is not None else None) for i, m in enumerate(media)], "i long, media binary").coalesce(1)
+    got = {r.i: r for r in jpeg.read_media(df).collect()}
+    assert [got[i].error is None for i in range(6)] == [True, True, False, False, False, True]
+    assert got[0].feature == got[5].feature and got[0].payload_sha256 and got[1].media_bytes is None
+    assert all(got[i].payload_sha256 is None and got[i].media_bytes == len(media[i]) for i in (2, 3, 4))
