@@ -53,3 +53,23 @@ s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER
 g AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM s GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_spans, 0) AS n_spans FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id
 """
+
+#: CRC-32 of an id's digits, bit by bit; the polynomial is a fixed value.
+CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT)),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[]), lambda r, k: CASE WHEN r % 2 = 1 THEN xor(r >> 1, 3988292384::BIGINT) ELSE r >> 1 END)), 4294967295::BIGINT)"""
+
+#: A row for each token with its history; counts are joined to it, and the smoothed probabilities written out.
+MODEL = f"""
+WITH w AS (SELECT doc_id, {CRC.format(text="doc_id::VARCHAR")} % 7 = 2 AS held_out, list_concat([chr(9)], list_concat({WORDS.format(text=LOWERED)}, [chr(10)])) AS ws FROM documents),
+t AS (SELECT doc_id, held_out, unnest(ws) AS word, unnest(range(0, len(ws))) AS p FROM w),
+h AS (SELECT *, lag(word) OVER d AS h1, lag(word, 2) OVER d AS h2 FROM t WINDOW d AS (PARTITION BY doc_id ORDER BY p)),
+c1 AS (SELECT word, count(*) AS c FROM t WHERE NOT held_out GROUP BY word),
+c2 AS (SELECT h1, word, count(*) AS c FROM h WHERE NOT held_out AND p > 0 GROUP BY h1, word),
+c3 AS (SELECT h2, h1, word, count(*) AS c FROM h WHERE NOT held_out AND p > 1 GROUP BY h2, h1, word),
+size AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM c1 WHERE word <> chr(9)),
+s AS (SELECT h.doc_id, h.held_out, n, coalesce(a.c, 0) AS c, (coalesce(a.c, 0) + 1) / (n + 1 * (v + 1))::DOUBLE AS p1, coalesce(b.c, 0) AS cb, coalesce(g.c, 0) AS ch, coalesce(x.c, 0) AS cx, coalesce(y.c, 0) AS cy
+  FROM h CROSS JOIN size LEFT JOIN c1 a ON a.word = h.word LEFT JOIN c2 b ON b.h1 = h.h1 AND b.word = h.word LEFT JOIN c1 g ON g.word = h.h1 LEFT JOIN c2 x ON x.h1 = h.h2 AND x.word = h.h1 LEFT JOIN c3 y ON y.h2 = h.h2 AND y.h1 = h.h1 AND y.word = h.word WHERE h.p > 0),
+m AS (SELECT *, (cb + 500 * p1) / (ch + 500) AS p2 FROM s)
+SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, any_value(n) AS train_tokens, round(fsum(log10(p1)), 7) AS base_score,
+  round(fsum(log10(CASE WHEN cx >= greatest(3, n / 100000::DOUBLE) THEN (cy + 500 * p2) / (cx + 500) ELSE p2 END)), 7) AS score FROM m GROUP BY doc_id
+"""

@@ -64,7 +64,8 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from psephon.llm import lm
 
-    return lm.score(table(spark, sf_dir, "documents"))
+    out = lm.score(table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.round(c, 7) for c in ("base_score", "score")})
 
 
 def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,5 +90,5 @@ def oracle_sql() -> dict[str, str]:
 
     return {
         "op1_ngram_jaccard": oracles.JACCARD, "op2_suffix_array_dedup": oracles.BYTES, "op3_line_dedup": oracles.LINES,
-        "op5_substring_dedup": oracles.SUBSTRINGS, "op7_url_filters": urls.oracle(),
+        "op5_substring_dedup": oracles.SUBSTRINGS, "op7_url_filters": urls.oracle(), "op8_lm_scoring": oracles.MODEL,
     }
