@@ -3,16 +3,18 @@
 Every text becomes the set of its distinct ``k``-word shingles. Two documents link when ``100 * |A and B| >= percent
 * |A or B|``. Texts with equal sets are one class, a node of the graph; classes are found by a 64-bit digest of the set.
 
-Under any global order of shingles, linked sets share a shingle among their first ``|A| - ceil(t |A|) + 1``, their
-prefixes; indeed as many as ``need`` says, for few members of a linked set are outside the other. There are three
-orders. Each puts frequent shingles last (the class of a shingle's frequency, from a sketch that every shingle of every
-document is counted into) and orders shingles of one class by a hash of its own. So a passage that many documents
-share does not generate candidates, unless a document has little else.
+Under any global order of shingles, linked sets share members of their prefixes, for few members of a linked set are
+outside the other. There are three orders. The first puts frequent shingles last (the class of a shingle's frequency, from
+a sketch that every shingle of every document is counted into) and orders shingles of one class by hash; its prefix of
+``|A| - ceil(t |A|) + 1`` members is what candidates are looked up by. So a passage that many documents share does not
+generate candidates, unless a document has little else. The second and third are hash orders of their own; their prefix
+is all that a set has in the first quarter of the order. As it ends at one place for all sets, two prefixes of linked sets
+differ in no more members than the sets may, so they have to share more than half (``need``).
 
 1. The first order's prefixes go, packed, to buckets. A bucket makes *lists*: the nodes with one prefix shingle, cut
    where no two sizes can link. Equal lists are kept once. Lists, not pairs, are what is shuffled.
 2. Each list's least node is paired with the others (a list of n gives n - 1 pairs). A pair is a candidate if the
-   prefixes under the second and under the third order, kept as 16-bit values, share enough too. Only then are texts
+   prefixes under the second and under the third order, sent as 16-bit values, share enough too. Only then are texts
    moved and whole sets compared. Components of the links follow.
 3. The lists of one least node make a *cluster*. Clusters that still span components are cut into tiles of two blocks
    of at most ``BLOCK`` nodes. In a tile, counts of shared members are kept in a matrix: of the second and third
@@ -76,27 +78,27 @@ def counter_of(shingles: np.ndarray) -> np.ndarray:
     return (x.mixed(shingles) >> np.uint64(64 - 18)).astype(np.int64)
 
 
-def in_order(own: np.ndarray, rank: np.ndarray, order: int, percent: int) -> np.ndarray:
-    """The set's prefix under one order, as 64-bit tokens."""
+def in_order(own: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
+    """The set's prefix under the first order, as 64-bit tokens."""
     n = len(own)
     size = n - -(-percent * n // 100) + 1
-    keys = (rank[counter_of(own)].astype(np.uint64) << np.uint64(58)) | (x.mixed(own ^ ORDERS[order]) >> np.uint64(6))
+    keys = (rank[counter_of(own)].astype(np.uint64) << np.uint64(58)) | (x.mixed(own ^ ORDERS[0]) >> np.uint64(6))
     return np.sort(keys)[:size] if n else own
 
 
-def near(own: np.ndarray, rank: np.ndarray, order: int, percent: int) -> np.ndarray:
-    """The prefix under one order as sorted distinct 16-bit values."""
-    return np.unique((x.mixed(in_order(own, rank, order, percent)) >> np.uint64(48)).astype(np.uint16))
+def near(own: np.ndarray, order: int) -> np.ndarray:
+    """The prefix under the second or third order, the first quarter of all hashes, as sorted distinct 16-bit values."""
+    m = x.mixed(own ^ ORDERS[order])
+    return np.unique((m[m < np.uint64(1 << 62)] >> np.uint64(46)).astype(np.uint16))
 
 
 def need(p, q, n_p, n_q, percent: int):
     """How many values the prefixes (``p`` and ``q`` distinct ones) of linked sets (``n_p`` and ``n_q`` members) share at least.
 
-    Of the set whose prefix ends first, all members before that end that the other has are in the other's prefix; and
-    no more than its size less the overlap are members that the other lacks.
+    Linked sets differ in so many members at most, and so do parts of them that end at one place, and their images.
     """
-    overlap = -(-percent * (n_p + n_q) // (100 + percent))
-    return np.maximum(1, np.minimum(p - n_p, q - n_q) + overlap)
+    differ = n_p + n_q - 2 * -(-percent * (n_p + n_q) // (100 + percent))
+    return (p + q - differ + 1) // 2
 
 
 def may_link(p: bytes, q: bytes, n_p: int, n_q: int, percent: int) -> bool:
@@ -111,19 +113,28 @@ def bodies_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(body).alias("key"), body.alias("body"))
 
 
-def sketch(bodies: DataFrame, k: int) -> DataFrame:
-    """(part, counts): partial frequency sketches."""
+def sets_and_sketch(bodies: DataFrame, k: int) -> DataFrame:
+    """One pass: (doc_id, key, node, n, second, third) of each document, and partial frequency sketches (part, counts).
+
+    ``second`` and ``third`` are the prefixes under those orders.
+    """
+    names = ["doc_id", "key", "node", "n", "second", "third", "part", "counts"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
 
     def run(batches):
         total = np.zeros(COUNTERS, np.int64)
         for part in slices(batches, "body", SLICE_BYTES):
-            sets = shingle_sets([b or b"" for b in part.column(0).to_pylist()], k)
+            sets = shingle_sets([b or b"" for b in part.column(2).to_pylist()], k)
             if sets:
                 total += np.bincount(counter_of(np.concatenate(sets)), minlength=COUNTERS)
+            columns = ([node_of(s) if len(s) else None for s in sets], [len(s) for s in sets], *([near(s, order).tobytes() for s in sets] for order in (1, 2)))
+            own = [pa.array(c, t) for c, t in zip(columns, kinds[2:6], strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *own, pa.nulls(len(sets), kinds[6]), pa.nulls(len(sets), kinds[7])], names=names)
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([c.tobytes() for c in np.split(total, PARTS)], pa.binary())], names=["part", "counts"])
+            rows = [pa.array(range(PARTS), kinds[6]), pa.array([c.tobytes() for c in np.split(total, PARTS)], kinds[7])]
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(PARTS, t) for t in kinds[:6]], *rows], names=names)
 
-    return bodies.select("body").mapInArrow(run, "part int, counts binary")
+    return bodies.mapInArrow(run, "doc_id long, key long, node long, n long, second binary, third binary, part int, counts binary")
 
 
 def frequency_ranks(sketches: DataFrame) -> np.ndarray:
@@ -140,39 +151,22 @@ def frequency_ranks(sketches: DataFrame) -> np.ndarray:
     return np.clip(np.floor(np.log2((counts + 1) / (1 + mean + 3 * np.sqrt(mean)))) + 1, 0, 31).astype(np.uint8)
 
 
-def prefixes(bodies: DataFrame, ranks, k: int, percent: int, n_units: int) -> DataFrame:
-    """One pass: (doc_id, key, node, n, second, third) of each document, and its first prefix, packed by bucket (bucket, packed).
-
-    ``second`` and ``third`` are the prefixes under those orders.
-    """
-    names = ["doc_id", "key", "node", "n", "second", "third", "bucket", "packed"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
+def lists_of(bodies: DataFrame, ranks, k: int, percent: int, n_units: int) -> DataFrame:
+    """(list, members): packed (node, size) of the nodes with one prefix shingle of the first order."""
 
-    def run(batches):
+    def send(batches):
         for part in slices(batches, "body", SLICE_BYTES):
-            sets = shingle_sets([b or b"" for b in part.column(2).to_pylist()], k)
-            nodes = [node_of(s) if len(s) else None for s in sets]
-            rank, size = ranks.value, len(sets)
-            own = [pa.array(c, t) for c, t in zip((nodes, map(len, sets), *([near(s, rank, order, percent).tobytes() for s in sets] for order in (1, 2))), kinds[2:6], strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *own, pa.nulls(size, kinds[6]), pa.nulls(size, kinds[7])], names=names)
-            distinct = {node: s for node, s in zip(nodes, sets, strict=True) if node is not None}
-            if not distinct:
+            nodes = {node_of(s): s for s in shingle_sets([b or b"" for b in part.column(0).to_pylist()], k) if len(s)}
+            if not nodes:
                 continue
-            tokens = [x.mixed(in_order(s, rank, 0, percent)) for s in distinct.values()]
-            sizes = np.array([len(t) for t in tokens])
-            node = np.repeat(np.fromiter(distinct, np.int64, len(distinct)), sizes)
-            n = np.repeat(np.array([len(s) for s in distinct.values()], np.uint32), sizes)
+            tokens = [x.mixed(in_order(s, ranks.value, percent)) for s in nodes.values()]
+            size = np.array([len(t) for t in tokens])
+            node = np.repeat(np.fromiter(nodes, np.int64, len(nodes)), size)
+            n = np.repeat(np.array([len(s) for s in nodes.values()], np.uint32), size)
             tokens = np.concatenate(tokens)
             order = np.argsort(tokens)
             rows = list(x.deal(0, n_units, tokens[order], node[order], n[order]))
-            none = [pa.nulls(len(rows), t) for t in kinds[:6]]
-            yield pa.RecordBatch.from_arrays([*none, pa.array([r[1] for r in rows], kinds[6]), pa.array([r[2] for r in rows], kinds[7])], names=names)
-
-    return bodies.mapInArrow(run, "doc_id long, key long, node long, n long, second binary, third binary, bucket int, packed binary")
-
-
-def lists_of(sent: DataFrame, percent: int) -> DataFrame:
-    """(list, members): packed (node, size) of the nodes with one prefix shingle of the first order."""
+            yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "packed"])
 
     def meet(key, table):
         columns: list[list[np.ndarray]] = [[], [], []]
@@ -194,6 +188,7 @@ def lists_of(sent: DataFrame, percent: int) -> DataFrame:
                 out[xxhash.xxh3_64_intdigest(members) - (1 << 63)] = members
         return pa.table([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["list", "members"])
 
+    sent = bodies.select("body").mapInArrow(send, "bucket int, packed binary")
     return sent.groupBy("bucket").applyInArrow(meet, "list long, members binary").dropDuplicates(["list"])
 
 
@@ -362,13 +357,13 @@ def jaccard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     x.shared_dir(spark)
     bodies = bodies_of(docs, id_col, text_col)
-    ranks = spark.sparkContext.broadcast(frequency_ranks(sketch(bodies, k)))
-    passed = prefixes(bodies, ranks, k, percent, x.unit_counts(docs)[1]).checkpoint()
-    rows = passed.filter("bucket IS NULL")
+    passed = sets_and_sketch(bodies, k).checkpoint()
+    rows = passed.filter("part IS NULL")
+    ranks = spark.sparkContext.broadcast(frequency_ranks(passed.filter("part IS NOT NULL").select("part", "counts")))
     least = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
     keepers = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min(least).alias("row"), *[F.first(c).alias(c) for c in ("n", "second", "third")]).checkpoint()
 
-    lists = lists_of(passed.filter("bucket IS NOT NULL").select("bucket", "packed"), percent).checkpoint()
+    lists = lists_of(bodies, ranks, k, percent, x.unit_counts(docs)[1]).checkpoint()
     stars = star_pairs(lists, percent).checkpoint()
     links = linked(candidates(stars, keepers, percent).checkpoint(), bodies, keepers, k, percent).distinct().checkpoint()
     found = components(links).checkpoint()
