@@ -18,7 +18,6 @@ in the same order.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,6 +27,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from psephon.sources import files
+
 #: Bytes of (compressed) input for each batch and for each bucket, and how many of both for each shuffle partition at
 #: least. Buckets are fewer: a batch sends a row to each, and rows of a few keys would cost more than the keys.
 BATCH_BYTES, BUCKET_BYTES, PER_PARTITION = 1_500_000, 8_000_000, 2
@@ -57,9 +58,8 @@ def unit_counts(df: DataFrame) -> tuple[int, int]:
 
 def shared_dir(spark: SparkSession) -> None:
     """Point checkpoints at the folder that the cluster names; only where none is named (tests), at one of our own."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="psephon-"))
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(files.shared_folder(spark))
 
 
 def batched(docs: DataFrame, n: int, id_col: str, text_col: str, *extra: Column) -> DataFrame:
