@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from functools import reduce
 
@@ -35,8 +36,8 @@ def day(c: Column) -> Column:
 
 
 def truthy(c: Column) -> Column:
-    """1 for an accepted spelling of true, else 0; null is 0."""
-    return F.coalesce(F.lower(F.trim(c.cast("string"))).isin(*TRUE_WORDS), F.lit(False)).cast("int")
+    """1 for an accepted spelling of true, whatever its case, else 0; null is 0. Blanks are not trimmed."""
+    return F.coalesce(F.lower(c.cast("string")).isin(*TRUE_WORDS), F.lit(False)).cast("int")
 
 
 def flag(condition: Column) -> Column:
@@ -65,11 +66,15 @@ def state_code(c: Column, mapping: dict[str, str]) -> Column:
     return F.when(F.length(text) == 2, F.upper(text)).otherwise(translated(text, mapping))
 
 
-def seat_number(c: Column) -> Column:
-    """First run of digits without leading zeros; at-large is 1; else the longest ordinal that is named; else null."""
+def seat_number(c: Column, longest: bool = True) -> Column:
+    """First run of digits without leading zeros; at-large is 1; else an ordinal that is named; else null.
+
+    Of several ordinals in a name (a longer one holds shorter ones) the longest counts, or with ``longest`` false the
+    one that comes first in ``ORDINALS``.
+    """
     text = F.lower(c)
     digits = F.nullif(F.regexp_extract(text, r"(\d+)", 1), F.lit(""))
-    words = [F.when(text.contains(w), F.lit(str(ORDINALS[w]))) for w in sorted(ORDINALS, key=lambda w: (-len(w), ORDINALS[w]))]
+    words = [F.when(text.contains(w), F.lit(str(ORDINALS[w]))) for w in (sorted(ORDINALS, key=lambda w: (-len(w), ORDINALS[w])) if longest else ORDINALS)]
     at_large = F.when(text.rlike("at[- ]large"), F.lit("1"))
     return F.coalesce(digits.try_cast("bigint").cast("string"), at_large, *words)
 
@@ -86,21 +91,42 @@ def code_parts(c: Column, mark: str = "-") -> tuple[Column, Column]:
     return F.try_element_at(parts, F.lit(1)), F.coalesce(second.try_cast("int").cast("string"), second)
 
 
+@functools.cache
 def _decompositions() -> tuple[dict[str, str], dict[str, str]]:
-    """From the Unicode tables: characters whose compatibility decomposition has one, and more than one, ASCII letters."""
+    """From the Unicode tables: characters whose compatibility decomposition has one, and more than one, ASCII character."""
     one, more = {}, {}
-    for code in range(0x80, 0x2000):
+    for code in range(0x80, 0x110000):
+        if 0xD800 <= code < 0xE000:
+            continue
         ascii_part = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
         if ascii_part:
             (one if len(ascii_part) == 1 else more)[chr(code)] = ascii_part
     return one, more
 
 
+def _spans(chars: list[str]) -> str:
+    """A character class of ``chars`` for the JVM's regular expressions."""
+    out: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
+
+
 def ascii_folded(c: Column) -> Column:
-    """Accents off; characters without an ASCII base are dropped."""
+    """Accents off; characters without an ASCII base are dropped. Plain ASCII text passes as it is.
+
+    Characters of one ASCII character are translated; the few that have more are looked up one by one, and only in
+    texts that have any.
+    """
     one, more = _decompositions()
-    text = reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), more.items(), c)
-    return F.regexp_replace(F.translate(text, "".join(one), "".join(one.values())), r"[^\x00-\x7F]", "")
+    expanded = F.map_from_arrays(F.array(*[F.lit(k) for k in more]), F.array(*[F.lit(v) for v in more.values()]))
+    spread = F.array_join(F.transform(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), lambda ch: F.when(ch.rlike(_spans(list(more))), F.try_element_at(expanded, ch)).otherwise(ch)), "")
+    text = F.when(c.rlike(_spans(list(more))), spread).otherwise(c)
+    folded = F.regexp_replace(F.translate(text, "".join(one), "".join(one.values())), r"[^\x00-\x7F]", "")
+    return F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(c)
 
 
 def person_key(c: Column) -> Column:

@@ -1,7 +1,7 @@
 """Evaluation of scores against outcomes, exact and without any global sort on one task.
 
-``placed`` gives every distinct score the number of rows below it. Distinct scores are cut into ranges by value; the
-few range totals are added up in order, and rows are ordered only within a range.
+``placed`` gives every distinct score the number of rows below it. Distinct scores are cut into ranges of about equal
+numbers of them; the few range totals are added up in order, and rows are ordered only within a range.
 """
 
 from __future__ import annotations
@@ -9,16 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from psephon.operators.aggregates import two_parties
+
 RANGES, CLIP = 1024, 1e-15
 
 
 def placed(df: DataFrame, groups: list[str], score: str, measures: dict[str, Column]) -> DataFrame:
     """Per (groups, distinct score): the summed measures, and ``below_<measure>``, their sums over lower scores."""
     found = df.filter(F.col(score).isNotNull()).groupBy(*groups, score).agg(*[F.sum(m).alias(k) for k, m in measures.items()])
-    ends = found.groupBy(*groups).agg(F.min(score).alias("__lo"), F.max(score).alias("__hi"))
-    found = found.join(F.broadcast(ends), groups) if groups else found.crossJoin(F.broadcast(ends))  # a row for each group of a report
-    place = F.coalesce(F.try_divide(F.col(score) - F.col("__lo"), F.col("__hi") - F.col("__lo")), F.lit(0.0))
-    found = found.withColumn("__r", F.least(F.floor(place * RANGES), F.lit(RANGES - 1)).cast("int"))
+    # Edges may be approximate: any cut gives the same sums, and equal scores are one row, so no range is much larger.
+    edges = found.groupBy(*groups).agg(F.percentile_approx(F.col(score).cast("double"), [k / RANGES for k in range(1, RANGES)], 4 * RANGES).alias("__e"))
+    found = found.join(F.broadcast(edges), groups) if groups else found.crossJoin(F.broadcast(edges))  # a row for each group of a report
+    halving = F.array(*[F.lit(1 << k) for k in range(RANGES.bit_length() - 2, -1, -1)])
+    found = found.withColumn("__r", F.aggregate(halving, F.lit(0), lambda at, step: F.when(F.element_at("__e", at + step) < F.col(score), at + step).otherwise(at))).drop("__e")
     totals = found.groupBy(*groups, "__r").agg(*[F.sum(k).alias(f"__t_{k}") for k in measures])
     before = Window.partitionBy(*groups).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*groups, "__r", *[F.coalesce(F.sum(f"__t_{k}").over(before), F.lit(0)).alias(f"__o_{k}") for k in measures])
@@ -77,6 +80,19 @@ def blends(df: DataFrame, first: str, second: str, name: str, alphas: tuple[floa
     return each.withColumn(name, F.col("alpha") * F.col(first) + (F.lit(1.0) - F.col("alpha")) * F.col(second))
 
 
+def house_effects_by_fold(df: DataFrame, period: str, periods: list[int], race: str, poll: str, house: str, party: str, value: str, name: str = "fold") -> DataFrame:
+    """(fold, house, house_effect) of each leave-one-period-out fold: margins are taken and summed once, then dealt to folds.
+
+    What is copied for each fold is one row for each (period, race, house). ``poll`` belongs to one period.
+    """
+    margin = F.col("DEM") - F.col("REP")
+    cells = two_parties(df, [period, race, poll, house], party, value).groupBy(period, race, house).agg(F.sum(margin).alias("s"), F.count(margin).alias("n"))
+    cells = folds(cells, period, periods, name)
+    means = cells.groupBy(name, race).agg(F.try_divide(F.sum("s"), F.sum("n")).alias("mean"))
+    off = F.sum(F.when(F.col("n") > 0, F.col("s") - F.col("n") * F.col("mean")))
+    return cells.join(means, [name, race]).groupBy(name, house).agg(F.try_divide(off, F.sum("n")).alias("house_effect"))
+
+
 def folds(df: DataFrame, period: str, periods: list[int], name: str = "fold") -> DataFrame:
     """Training rows of each leave-one-period-out fold: all rows of other periods. Periods are a short, given list."""
     return df.withColumn(name, F.explode(F.array(*[F.lit(p) for p in periods]))).filter(F.col(name) != F.col(period))

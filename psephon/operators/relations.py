@@ -70,6 +70,17 @@ def matching(df: DataFrame, other: DataFrame, keys: list[str], has: bool = True)
     return df.join(other.select(*keys).distinct(), keys, "left_semi" if has else "left_anti")
 
 
+def containing(df: DataFrame, column: str, word: str) -> DataFrame:
+    """Rows whose text has ``word``, whatever its case; null has not. Without such a column, all rows."""
+    found = pick(df.columns, column)
+    return df.filter(F.coalesce(F.lower(F.col(f"`{found}`").cast("string")).contains(word), F.lit(False))) if found else df
+
+
+def peek(df: DataFrame, n: int = 3) -> tuple[list[str], DataFrame]:
+    """The columns, and the first rows."""
+    return df.columns, df.limit(n)
+
+
 def pick(columns: list[str], *names: str) -> str | None:
     """First of ``names`` that is a column, whatever its case."""
     by_lower: dict[str, str] = {}

@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from psephon.operators.aggregates import slope
 
 
-def monthly(df: DataFrame, date: str, keys: list[str], value: str) -> DataFrame:
-    """Mean of each month that has values, dated by its first day."""
-    return df.groupBy(F.trunc(date, "MM").alias("month"), *keys).agg(F.avg(value).alias(value))
+def monthly(df: DataFrame, date: str, keys: list[str], value: str, gaps: bool = False) -> DataFrame:
+    """Mean of each month that has values, dated by its first day; with ``gaps``, null for months between that have none."""
+    found = df.groupBy(F.trunc(date, "MM").alias("month"), *keys).agg(F.avg(value).alias(value))
+    if not gaps:
+        return found
+    months = F.sequence(F.min("month"), F.max("month"), F.expr("interval 1 month"))
+    return found.groupBy(*keys).agg(months.alias("month")).withColumn("month", F.explode("month")).join(found, [*keys, "month"], "left")
 
 
 def calendar_filled(df: DataFrame, date: str, keys: list[str], value: str, step: str = "1 day") -> DataFrame:

@@ -10,16 +10,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def second_largest(value: str, race: str, name: str) -> Column:
-    """Second-largest value of the race (equal values count apiece; nulls do not); the largest if it stands alone."""
-    top = F.slice(F.sort_array(F.collect_list(value).over(Window.partitionBy(race)), False), 1, 2)
-    return F.try_element_at(top, F.lit(-1)).alias(name)
+def with_second_largest(df: DataFrame, race: str, value: str, name: str) -> DataFrame:
+    """Adds the second-largest value of the race (equal values count apiece; nulls do not); the largest if it stands alone."""
+    w = Window.partitionBy(race)
+    ranked = df.withColumn("__rn", F.row_number().over(w.orderBy(F.col(value).desc_nulls_last())))
+    second = F.max(F.when(F.col("__rn") == 2, F.col(value))).over(w)
+    return ranked.withColumn(name, F.coalesce(second, F.max(value).over(w))).drop("__rn")
 
 
 def lead(df: DataFrame, race: str, value: str) -> DataFrame:
     """Lead over the race's second-largest value, share of its sum, what is left to 100, and contestants."""
     w = Window.partitionBy(race)
-    best = df.withColumn("field_best", second_largest(value, race, "field_best"))
+    best = with_second_largest(df, race, value, "field_best")
     total = F.sum(value).over(w)
     return best.select("*", (F.col(value) - F.col("field_best")).alias("lead"), F.try_divide(F.col(value), total).alias("share"), (F.lit(100.0) - total).alias("undecided"), F.count(F.lit(1)).over(w).alias("n_cands"))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window
@@ -75,23 +74,13 @@ def group_profile(spark, sf_dir):
     return agg.profile(load(spark, sf_dir, "lineitem").withColumn("day", F.col("l_shipdate").cast("date")), "l_returnflag", ["l_quantity", "day"])
 
 
-NAME = "array_to_string(list_filter(string_split_regex(lower(regexp_replace(strip_accents(nm), '[^\\x00-\\x7F]', '', 'g')), '[^a-z]+'), lambda w: w <> '' AND w NOT IN ('jr','sr','ii','iii','iv')), ' ')"
+NAME = "array_to_string(list_filter(string_split_regex(lower(regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g')), '[^a-z]+'), lambda w: w <> '' AND w NOT IN ('jr','sr','ii','iii','iv')), ' ')"
 
 
 @query(f"""
-WITH names AS (SELECT doc_id, array_to_string(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ')[1:4], ' ') AS nm FROM documents),
-w AS (SELECT doc_id, string_split(nullif({NAME}, ''), ' ') AS ws FROM names)
+WITH w AS (SELECT doc_id, string_split(nullif({NAME}, ''), ' ') AS ws FROM documents)
 SELECT doc_id, CASE WHEN ws IS NULL THEN NULL WHEN ws[1] = ws[-1] THEN ws[1] ELSE ws[-1] || ' ' || substr(ws[1], 1, 1) END AS cand_key FROM w""")
 def name_key(spark, sf_dir):
-    """Last name and first initial of the four words that a text begins with."""
-    words = F.array_join(F.slice(F.split(F.regexp_replace("text", r"\s+", " "), " "), 1, 4), " ")
-    return load(spark, sf_dir, "documents").select("doc_id", s.person_key(words).alias("cand_key"))
-
-
-@query(f"""
-WITH w AS (SELECT doc_id, string_split(nullif({NAME.replace("nm", "text")}, ''), ' ') AS ws FROM documents)
-SELECT doc_id, CASE WHEN ws IS NULL THEN NULL WHEN ws[1] = ws[-1] THEN ws[1] ELSE ws[-1] || ' ' || substr(ws[1], 1, 1) END AS cand_key FROM w""")
-def name_key_whole(spark, sf_dir):
     """Last name and first initial of whole texts, however long."""
     return load(spark, sf_dir, "documents").select("doc_id", s.person_key(F.col("text")).alias("cand_key"))
 
@@ -127,23 +116,13 @@ def json_expand(spark, sf_dir):
 
 
 @query("""
-WITH u AS (SELECT user_id, event_type, value, NULL::VARCHAR AS note, 0 AS src, event_id FROM events WHERE event_id % 3 <> 0 UNION ALL SELECT user_id, event_type, value, 'old' AS note, 1 AS src, event_id FROM events WHERE event_id % 2 = 0)
+WITH u AS (SELECT user_id, event_type, value, NULL::VARCHAR AS note, 0 AS src, event_id FROM events UNION ALL SELECT user_id, event_type, value, 'old' AS note, 1 AS src, event_id FROM events)
 SELECT user_id, event_type, value, note, src, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY src, event_id) AS rn FROM u) WHERE rn = 1""")
 def union_dedupe_first(spark, sf_dir):
-    """Two overlapping sources united by name; per key the first row of the first source stays."""
-    e = load(spark, sf_dir, "events").select("user_id", "event_type", "value", "event_id")
-    both = rel.union_all([e.filter("event_id % 3 <> 0").withColumn("src", F.lit(0)), e.filter("event_id % 2 = 0").withColumns({"src": F.lit(1), "note": F.lit("old")})])
-    return rel.first_rows(both, ["user_id", "event_type", "absent"], [F.col("src"), F.col("event_id")])
-
-
-@query("""
-WITH u AS (SELECT user_id, event_type, value, NULL::VARCHAR AS note, 0 AS src, event_id FROM events UNION ALL SELECT user_id, event_type, value, 'old' AS note, 1 AS src, event_id FROM events)
-SELECT user_id, event_type, value, note, src, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, event_id ORDER BY src, event_id) AS rn FROM u) WHERE rn = 1""")
-def union_dedupe_whole(spark, sf_dir):
-    """The whole table twice, united by name; every event's row of the first source stays."""
+    """Two sources, each the whole table, united by name; per key the first row of the first source stays."""
     e = load(spark, sf_dir, "events").select("user_id", "event_type", "value", "event_id")
     both = rel.union_all([e.withColumn("src", F.lit(0)), e.withColumns({"src": F.lit(1), "note": F.lit("old")})])
-    return rel.first_rows(both, ["user_id", "event_type", "event_id", "absent"], [F.col("src"), F.col("event_id")])
+    return rel.first_rows(both, ["user_id", "event_type", "absent"], [F.col("src"), F.col("event_id")])
 
 
 @query("""
@@ -256,11 +235,11 @@ def results_dedupe_max(spark, sf_dir):
 
 @query("""
 SELECT p_partkey, upper(p_type) AS kind, p_size, round(sqrt(p_retailprice), 6) AS root, 'part' AS office FROM part
-WHERE p_size BETWEEN 5 AND 40 AND contains(lower(p_type), 's') AND lower(trim(p_brand)) NOT IN ('brand#1', 'brand#2') AND regexp_matches(p_name, '[0-9]') AND p_retailprice IS NOT NULL""")
+WHERE p_size BETWEEN 5 AND 40 AND contains(lower(p_type), 's') AND lower(trim(p_brand)) NOT IN ('brand#1', 'brand#2') AND regexp_matches(p_name, '^(large|small) ') AND p_retailprice IS NOT NULL""")
 def predicate_chain(spark, sf_dir):
     """Range, containment, junk list, pattern and null filters, pushed down where the file format can."""
     p = load(spark, sf_dir, "part")
-    kept = p.filter(F.col("p_size").between(5, 40) & F.coalesce(F.lower("p_type"), F.lit("")).contains("s") & ~s.is_junk(F.col("p_brand"), ("brand#1", "brand#2")) & F.col("p_name").rlike("[0-9]")).dropna(subset=["p_retailprice"])
+    kept = p.filter(F.col("p_size").between(5, 40) & F.coalesce(F.lower("p_type"), F.lit("")).contains("s") & ~s.is_junk(F.col("p_brand"), ("brand#1", "brand#2")) & F.col("p_name").rlike("^(large|small) ")).dropna(subset=["p_retailprice"])
     return rounded(kept.select("p_partkey", F.upper("p_type").alias("kind"), "p_size", F.sqrt("p_retailprice").alias("root"), F.lit("part").alias("office")))
 
 
@@ -288,13 +267,8 @@ def incumbent_flag(spark, sf_dir):
 @query("SELECT c_custkey, c_name, c_acctbal, c_mktsegment, NULL::VARCHAR AS absent FROM customer")
 def csv_roundtrip(spark, sf_dir):
     """Written as delimited text, read as text, columns resolved by alias, cast to a fixed schema."""
-    import contextlib
-
     c = load(spark, sf_dir, "customer")
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    with contextlib.suppress(Exception):
-        shared = shared or spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    path = f"{shared or tempfile.mkdtemp(prefix='psephon-')}/csv-{uuid.uuid4().hex}"
+    path = f"{files.shared_folder(spark)}/csv-{uuid.uuid4().hex}"
     files.write_text_table(c.withColumnRenamed("c_name", "Candidate_Name"), path)
     back = rel.resolved(files.read_text_table(spark, path), {"c_custkey": ("id", "c_custkey"), "c_name": ("candidate_name", "name"), "c_acctbal": ("c_acctbal",), "c_mktsegment": ("segment", "c_mktsegment"), "absent": ("nowhere",)}, ("c_custkey", "c_name"))
     return rel.typed(back, T.StructType().add("c_custkey", "long").add("c_name", "string").add("c_acctbal", "double").add("c_mktsegment", "string").add("absent", "string"))

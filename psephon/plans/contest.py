@@ -109,8 +109,7 @@ YEARS = [1995, 1996, 1997, 1998, 1999, 2000, 2001]
 WITH {BALLOTS}, tr AS (SELECT f.fold, b.* FROM ballots b, (SELECT unnest({YEARS})::INTEGER AS fold) f WHERE b.year <> f.fold), {HOUSE.format(x="fold, ", t="tr")} SELECT fold, house, round(house_effect, 6) + 0.0::DOUBLE AS house_effect FROM he""")
 def house_effect_folds(spark, sf_dir):
     """House effects of each leave-one-year-out fold, never from the fold's own year."""
-    parts = ev.folds(ballots(spark, sf_dir).filter(F.col("party").isin("DEM", "REP")), "year", YEARS)
-    return rounded(agg.house_effect(parts, "race", "poll", "house", "party", "pct", ("fold",)))
+    return rounded(ev.house_effects_by_fold(ballots(spark, sf_dir), "year", YEARS, "race", "poll", "house", "party", "pct"))
 
 
 SPINE = """daily AS (SELECT race, cand, d, sum(pct) AS s, count(pct) AS n FROM readings GROUP BY 1, 2, 3),

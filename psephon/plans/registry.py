@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from psephon.plans import base, cleaning, contest, evaluation
+from psephon.plans import base, cleaning, contest, evaluation, features
 
-MODULES = (cleaning, contest, evaluation)
+MODULES = (cleaning, contest, evaluation, features)
 
 
 def queries() -> dict:

@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: What delimited files write for nothing.
-MISSING = ("", "NA", "N/A", "NaN", "nan", "None", "null", "NULL", "<NA>")
+MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 PAYLOAD = T.StructType([T.StructField("series", T.StructType([T.StructField("docs", T.ArrayType(T.StructType([T.StructField("period", T.ArrayType(T.StringType())), T.StructField("value", T.ArrayType(T.StringType()))])))]))])
 MARKUP = ("<!doctype", "<html", "<")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one checkpoints are set to, or named in ``spark.checkpoint.dir``.
+
+    Where neither is, a temporary folder will do on a single machine; on a cluster that is an error.
+    """
+    set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not set_already.isEmpty():
+        return set_already.get()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
+    return tempfile.mkdtemp(prefix="psephon-")
+
+
 def read_text_table(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """CSV with a header, every column text (no inference pass), missing marks as null."""
     raw = spark.read.option("header", True).option("inferSchema", False).option("multiLine", False).csv(paths)

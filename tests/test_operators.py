@@ -5,13 +5,15 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from psephon.functions import catalogs
 from psephon.functions import scalars as s
 from psephon.operators import aggregates as agg
 from psephon.operators import evaluation as ev
+from psephon.operators import features as feat
 from psephon.operators import relations as rel
 from psephon.operators import series as ser
 from psephon.operators import windows as win
-from psephon.sources import files
+from psephon.sources import fetching, files
 
 
 def column(spark, values, f, kind="string"):
@@ -20,19 +22,20 @@ def column(spark, values, f, kind="string"):
 
 
 def test_person_key(spark):
-    names = ["Robert P. Casey Jr.", "William Pounds IV", "Rayshawn D'Anthony Merrill", "Mikaela Shonnie Lutes-Burton", "JD Vance", "Cher", "  ", None, "José Peña", "Bjørn Ødegård", "Ĳsbrand"]
-    assert column(spark, names, s.person_key) == ["casey r", "pounds w", "merrill r", "burton m", "vance j", "cher", None, None, "pena j", "degard b", "ijsbrand"]
+    names = ["Robert P. Casey Jr.", "William Pounds IV", "Rayshawn D'Anthony Merrill", "Mikaela Shonnie Lutes-Burton", "JD Vance", "Cher", "  ", None, "José Peña", "Bjørn Ødegård", "Ĳsbrand", "Ｊane Ｄoe", "ﬁnn \U0001d400bel", "™"]
+    assert column(spark, names, s.person_key) == ["casey r", "pounds w", "merrill r", "burton m", "vance j", "cher", None, None, "pena j", "degard b", "ijsbrand", "doe j", "abel f", "tm"]
 
 
 def test_seats(spark):
     seats = ["6.0", "District 07", "Third Congressional District", "At-Large", "Class I", None, "Twenty-first District"]
     assert column(spark, seats, s.seat_number) == ["6", "7", "3", "1", None, None, "21"]
+    assert column(spark, ["Twenty-first District", "Second"], lambda c: s.seat_number(c, longest=False)) == ["1", "2"]
     assert column(spark, ["6.0", "x", None, "007"], s.seat_digits) == ["6", "", "", "7"]
 
 
 def test_words(spark):
     assert column(spark, [" dem ", "Republican", "LIB", None], s.party_group) == ["DEM", "REP", "OTH", "OTH"]
-    assert column(spark, ["True", "False", "", "1", "yes", None], s.truthy) == [1, 0, 0, 1, 1, 0]
+    assert column(spark, ["True", "False", "", "1", "yes", None, " true", "Y"], s.truthy) == [1, 0, 0, 1, 1, 0, 0, 1]
     assert [str(d) if d else None for d in column(spark, ["10/3/22", "10/3/2022", "2022-10-03", "junk", None], s.day)] == ["2022-10-03"] * 3 + [None] * 2
     assert column(spark, ["1.5", " 2 ", "x", None, ""], s.number) == [1.5, 2.0, None, None, None]
     df = spark.createDataFrame([(2022, "GA", "Senate", ""), (2022, "CA", "House", "7")], "y int, s string, o string, d string")
@@ -88,6 +91,8 @@ def test_folds_do_not_leak(spark):
     effect = lambda rs: {(r.fold, r.house): r.house_effect for r in agg.house_effect(ev.folds(spark.createDataFrame(rs, schema), "year", [1, 2, 3]), "race", "poll", "house", "party", "pct", ("fold",)).collect()}
     changed = [(*r[:5], r[5] + (90 if r[0] == 2 and r[3] == "X" and r[4] == "DEM" else 0)) for r in rows]
     before, after = effect(rows), effect(changed)
+    summed = {(r.fold, r.house): r.house_effect for r in ev.house_effects_by_fold(spark.createDataFrame(changed, schema), "year", [1, 2, 3], "race", "poll", "house", "party", "pct").collect()}
+    assert summed == pytest.approx(after)
     assert all(before[k] == after[k] for k in before if k[0] == 2) and any(before[k] != after[k] for k in before)
 
 
@@ -152,3 +157,54 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((str(r.start)[:10], r["mean"], r.n) for r in spark.table("means").collect()) == [("2024-01-01", 2.0, 2), ("2024-01-09", 9.0, 1)]
+
+
+def test_skewed_scores_are_placed_exactly(spark):
+    values = [1.0 - 2.0 ** -(k % 40) for k in range(400)] + [0.5] * 50
+    df = spark.createDataFrame([(v, k % 2) for k, v in enumerate(values)], "p double, y int")
+    got = {r.p: r.below_n for r in ev.placed(df, [], "p", {"n": F.lit(1)}).collect()}
+    assert got == {v: sum(w < v for w in values) for v in set(values)}
+
+
+def test_local_copies(spark, tmp_path):
+    pages = {"a": b"<!DOCTYPE html>" + b"x" * 3000, "b": b"short", "c": b"date,value\n" * 300}
+
+    def get(url):
+        if url not in pages:
+            raise OSError("unreachable")
+        return pages[url]
+
+    folder = str(tmp_path / "data")
+    assert fetching.local_copy("f.csv", ["gone", "a", "b"], folder, least_kb=1, get=get) is None
+    path = fetching.local_copy("f.csv", ["gone", "a", "b", "c"], folder, least_kb=1, get=get)
+    assert open(path, "rb").read() == pages["c"]
+    assert fetching.local_copy("f.csv", [], folder) == path and fetching.local_copy("f.csv", [], folder, force=True) is None
+    assert fetching.local_catalog({"House": {"f.csv": [], "g.csv": ["a"]}, "Senate": {"h.csv": ["c"]}}, folder, least_kb=1, get=get) == {"House": [path], "Senate": [f"{folder}/h.csv"]}
+    assert fetching.by_template("https://archive.example/{path}", "x/y.csv") == "https://archive.example/x/y.csv"
+    with pytest.raises(FileNotFoundError, match="write the monthly series first"):
+        fetching.series_table(spark, str(tmp_path / "none.csv"))
+    one = spark.createDataFrame([(1,)], "v int")
+    read = {"x": lambda: one, "y": lambda: one.limit(0), "z": lambda: 1 / 0}
+    both, skipped = fetching.each_series(["x", "y", "z"], lambda n: read[n]())
+    assert both.count() == 1 and skipped == {"y": "no data", "z": "division by zero"}
+
+
+def test_stage_and_columns(spark):
+    df = spark.createDataFrame([("General", 1), ("primary", 2), (None, 3)], "Stage string, v int")
+    assert [r.v for r in rel.containing(df, "stage", "general").collect()] == [1]
+    assert rel.containing(df.drop("Stage"), "stage", "general").count() == 3
+    assert rel.peek(df, 2)[0] == ["Stage", "v"] and rel.peek(df, 2)[1].count() == 2
+    # A raw column under a logical name that another column fills is dropped.
+    twice = spark.createDataFrame([("x", "y")], "candidate_name string, candidate string")
+    assert [tuple(r) for r in rel.resolved(twice, {"candidate": ("candidate_name", "candidate")}).collect()] == [("x",)]
+
+
+def test_macro_years_must_be_known(spark):
+    cand, macro = spark.createDataFrame([(2018, "a"), (2020, "b")], "year int, c string"), spark.createDataFrame([(2018, 1.5)], "cycle int, m double")
+    assert [tuple(r) for r in feat.with_macro(cand.filter("year = 2018"), macro).collect()] == [(2018, "a", 1.5)]
+    with pytest.raises(Exception, match="no macro figures for 2020"):
+        feat.with_macro(cand, macro).collect()
+
+
+def test_catalogs():
+    assert len(catalogs.STATES) == 51 and len(catalogs.approval_rows()) == 108 and len(feat.FEATURES) == 39
