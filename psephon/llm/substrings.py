@@ -10,7 +10,8 @@ and on the rest of a window to the right share that window; it holds in an earli
 does. Shared windows of a document run together into maximal repeats, which are removed.
 
 Neither round forms pairs: a passage that a third of all documents share costs one entry from each batch for each
-surrounding that differs.
+surrounding that differs. A bucket makes one reply to each batch at most, however many documents share a seed, and both
+rounds that read the replies read the same ones.
 
 Defined results. Null text: no words. Fewer words than a window: nothing removed. Null id: after all others, so
 such a document never takes a window from one with an id, and two with null ids take nothing from each other.
@@ -197,8 +198,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
         return pa.table([w.shown, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_words", "n_removed", "spans", "kept"])
 
-    seeds = batches.groupBy("batch").applyInArrow(send_seeds, x.KEYS).groupBy("bucket").applyInArrow(shared_seeds, x.KEYS)
+    # Dealt by batch once: both rounds that read the replies share the exchange, and a union of parts that are dealt alike stays so.
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    seeds = batches.groupBy("batch").applyInArrow(send_seeds, x.KEYS).groupBy("bucket").applyInArrow(shared_seeds, x.KEYS).repartition(width, "batch")
     surroundings = batches.groupBy("batch").cogroup(seeds.groupBy("batch")).applyInArrow(send_surroundings, x.KEYS)
-    earlier = surroundings.groupBy("bucket").applyInArrow(extend, x.KEYS)
+    earlier = surroundings.groupBy("bucket").applyInArrow(extend, x.KEYS).repartition(width, "batch")
     replies = seeds.withColumn("second", F.lit(False)).unionByName(earlier.withColumn("second", F.lit(True)))
     return batches.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(cut, "doc_id long, n_words long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")

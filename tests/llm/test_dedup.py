@@ -32,6 +32,15 @@ def test_substrings(docs, rows):
     assert collected(substrings.substring_dedup(docs), "doc_id", "n_words", "n_removed", "kept") == sorted(want, key=str)
 
 
+def test_substring_replies_are_made_once(docs):
+    """Both rounds that read the replies of the first read one exchange; a round makes a row for each message at most."""
+    got = substrings.substring_dedup(docs)
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    made = [line for line in plan.splitlines() if "FlatMapGroupsInArrow" in line]
+    assert [sum(f"{name}(" in line for line in made) for name in ("send_seeds", "shared_seeds", "extend")] == [1, 1, 1]
+
+
 def test_bytes(docs, rows):
     texts = [(i, (t or "").encode()) for i, t in rows]
     seen = Counter(b[a : a + 200] for _, b in texts for a in range(len(b) - 199))
