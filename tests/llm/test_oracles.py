@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from psephon.llm import registry
+from psephon.llm import lm, oracles, registry
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -27,3 +27,13 @@ def test_query(spark, duck, name):
     columns = sorted(got.columns)
     key = lambda frame: sorted((tuple(None if v is None or v != v else v for v in r) for r in frame[columns].astype(object).itertuples(index=False)), key=str)
     assert key(got) == key(want)
+
+
+def test_whole_model(spark, duck):
+    """The whole model of order three: the query's SQL without the share that its history pairs must hold."""
+    capped, whole = "cx >= greatest(3, n / 100000::DOUBLE)", "cx > 0"
+    assert oracles.MODEL.count(capped) == 1
+    want = duck.sql(oracles.MODEL.replace(capped, whole)).df().set_index("doc_id").sort_index()
+    got = lm.score(registry.table(spark, SF, "documents"), share=None).toPandas().set_index("doc_id").sort_index()
+    assert (got[["n_tokens", "n_known", "train_tokens"]] == want[["n_tokens", "n_known", "train_tokens"]]).all(axis=None)
+    assert ((got[["base_score", "score"]] - want[["base_score", "score"]]).abs() < 1e-6).all(axis=None)

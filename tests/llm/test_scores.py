@@ -112,6 +112,20 @@ def test_lm(spark, docs, rows, empty, monkeypatch):
     assert sorted(lm_rows(lm.score(df.filter(df.doc_id.isin([i for i, _ in alone])))), key=str) == sorted(brute_lm(alone, held), key=str)
 
 
+def test_lm_whole(spark, docs, rows, empty):
+    """Every pair that was seen is a state: rare pairs, pairs of one batch alone, pairs that only held-out texts share."""
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    r = random.Random(10)
+    rare = [(i, " ".join(f"w{r.randint(0, 60)}" for _ in range(r.randint(0, 12)))) for i in range(300)]
+    rare += [(300 + i, f"only{i} here{i} and{i} only{i} here{i} and{i}") for i in range(20)] + [(320 + i, "held out pairs meet") for i in range(20)]
+    df = spark.createDataFrame(rare, "doc_id long, text string").repartition(3)
+    want = sorted(brute_lm(rare, held, least=1), key=str)
+    assert sorted(lm_rows(lm.score(df, share=None)), key=str) == want
+    assert want != sorted(brute_lm(rare, held), key=str) == sorted(lm_rows(lm.score(df)), key=str)
+    assert sorted(lm_rows(lm.score(docs, share=None)), key=str) == sorted(brute_lm(rows, held, least=1), key=str)
+    assert lm.score(empty, share=None).count() == 0
+
+
 def test_lm_order_three_helps_held_out_texts(spark):
     """Held-out texts of one source are likelier under the automaton than under the base, and under triples than without."""
     r = random.Random(9)
